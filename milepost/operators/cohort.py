@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from milepost.config import FunnelConfig
 from milepost.functions.predicates import created_since, is_primary
-from milepost.operators.hot_keys import join_many_to_one
 from milepost.sources import Sources
 
 
@@ -25,7 +24,7 @@ def primary_addresses(sources: Sources, cfg: FunnelConfig) -> DataFrame:
 
 def cohort(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """New profiles, one row per primary address; none without one."""
-    return join_many_to_one(primary_addresses(sources, cfg), new_profiles(sources, cfg), "profile_id")
+    return new_profiles(sources, cfg).join(primary_addresses(sources, cfg), "profile_id")
 
 
 def cohort_profiles(sources: Sources, cfg: FunnelConfig) -> DataFrame:

@@ -40,7 +40,7 @@ def account_holders(sources: Sources, cfg: FunnelConfig) -> DataFrame:
 
 def balance_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, account, balance."""
-    return join_many_to_one(balances(sources), account_holders(sources, cfg), "account_id")
+    return account_holders(sources, cfg).join(balances(sources), "account_id")
 
 
 def transaction_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:

@@ -88,34 +88,27 @@ def conform(df: DataFrame, schema: StructType, what: str) -> DataFrame:
     kind, is an error here rather than a wrong row later.
     """
     present = {field.name.lower(): field.dataType for field in df.schema.fields}
-    columns, faults = [], []
+    columns: list[str | Column] = []
+    faults = []
     for field in schema.fields:
         found = present.get(field.name.lower())
         if found is None:
             faults.append(f"{field.name} is missing")
-        elif not _compatible(found, field.dataType):
-            faults.append(f"{field.name} is {found.simpleString()}, expected {field.dataType.simpleString()}")
+        elif found == field.dataType:
+            columns.append(field.name)
+        elif _castable(found.simpleString(), field.dataType.simpleString()):
+            columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
         else:
-            columns.append(_as_type(F.col(field.name), found, field))
+            faults.append(f"{field.name} is {found.simpleString()}, expected {field.dataType.simpleString()}")
     if faults:
         raise ValueError(f"{what}: " + "; ".join(faults))
     return df.select(*columns)
 
 
-def _compatible(found: DataType, wanted: DataType) -> bool:
-    whole = {"tinyint", "smallint", "int", "bigint"}
-    times = {"timestamp", "timestamp_ntz", "date"}
-    pair = (found.simpleString(), wanted.simpleString())
-    if pair[1] in whole:
-        return pair[0] in whole or (pair[0].startswith("decimal") and pair[0].endswith(",0)"))
-    if pair[1] == "timestamp_ntz":
-        return pair[0] in times
-    if pair[1] == "string":
-        return pair[0] == "string" or pair[0].startswith(("char", "varchar"))
-    return pair[0] == pair[1]
-
-
-def _as_type(column: Column, found: DataType, field: StructField) -> Column:
-    if found == field.dataType:
-        return column.alias(field.name)
-    return column.cast(field.dataType).alias(field.name)
+def _castable(found: str, wanted: str) -> bool:
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if wanted in whole:
+        return found in whole or (found.startswith("decimal") and found.endswith(",0)"))
+    if wanted == "timestamp_ntz":
+        return found in ("timestamp", "date")
+    return wanted == "string" and found.startswith(("char", "varchar"))

@@ -17,10 +17,18 @@ BUSINESS_CLASS = "business"
 CURRENCIES = (*SUPPORTED_CURRENCIES, "JPY", "INR")
 _DAY_SECONDS = 86400
 
+# The columns read. Given, so that opening a table costs no look into its files.
+_COLUMNS = {
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_linenumber int, l_returnflag string",
+}
 
-def _currency(number: Column) -> Column:
-    names = F.array(*[F.lit(name) for name in CURRENCIES])
-    return F.element_at(names, (number % len(CURRENCIES) + 1).cast("int"))
+
+def _currency(number: str) -> Column:
+    names = ", ".join(f"'{name}'" for name in CURRENCIES)
+    return F.expr(f"element_at(array({names}), cast(({number}) % {len(CURRENCIES)} + 1 as int))")
 
 
 def _add_seconds(moment: Column, seconds: Column) -> Column:
@@ -33,7 +41,7 @@ def _add_days(moment: Column, days: Column) -> Column:
 
 def star_sources(spark: SparkSession, directory: str) -> Sources:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
+        return spark.read.schema(_COLUMNS[name]).parquet(f"{directory}/{name}.parquet")
 
     customer, nation, lineitem = read("customer"), read("nation"), read("lineitem")
     order = read("orders").select(
@@ -54,7 +62,7 @@ def star_sources(spark: SparkSession, directory: str) -> Sources:
             "balance": order.where(F.col("pr").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).select(
                 F.col("k").alias("id"),
                 (F.col("c") + 1000000).alias("account_id"),
-                _currency(F.col("k")).alias("currency"),
+                _currency("k").alias("currency"),
                 F.col("t").alias("creation_time"),
             ),
             "balance_transaction": order.select(
@@ -69,7 +77,7 @@ def star_sources(spark: SparkSession, directory: str) -> Sources:
             "receive_transactions": line.where("l_returnflag = 'R'").select(
                 (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
                 F.col("c").alias("profile_id"),
-                _currency(F.col("l_orderkey") + F.col("l_linenumber")).alias("bank_detail_currency"),
+                _currency("l_orderkey + l_linenumber").alias("bank_detail_currency"),
                 _add_days(F.col("t"), F.col("l_linenumber")).alias("receival_date"),
             ),
             "card_issuance_summary": _cards(order),
@@ -113,7 +121,7 @@ def _bank_details(order: DataFrame) -> DataFrame:
     return order.select(
         key.alias("order_id"),
         F.col("c").alias("profile_id"),
-        _currency(key).alias("currency"),
+        _currency("k").alias("currency"),
         F.when(key % 11 != 0, placed).alias("bankdetail_initiation_time"),
         F.when(key % 3 != 0, _add_days(placed, F.lit(2))).alias("verification_completion_time"),
         F.when(F.col("st") == "O", "PENDING").otherwise("DONE").alias("verification_status"),
@@ -128,8 +136,8 @@ def _actions(line: DataFrame) -> DataFrame:
         (key * 10 + number).alias("action_id"),
         F.col("c").alias("user_profile_id"),
         _add_days(F.col("t"), number).alias("action_completion_time"),
-        _currency(key).alias("source_currency"),
-        _currency(F.expr("l_orderkey div 12") + number).alias("target_currency"),
+        _currency("l_orderkey").alias("source_currency"),
+        _currency("l_orderkey div 12 + l_linenumber").alias("target_currency"),
         F.when(key % 5 == 0, 0).otherwise(1).alias("successful_action"),
         F.when(key % 4 == 0, "SEND").otherwise("BALANCE").alias("product_type"),
         F.when(number % 7 == 0, 0).otherwise(1).alias("flag_for_aggregations"),
