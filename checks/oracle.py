@@ -126,7 +126,7 @@ def _ranked(rows: str, date: str, where: str, id_text: str, currency: str = "cur
             SELECT profile_id, profile_type, country_code, cohort_month, cohort_week, profile_date_created,
                    {date} AS date, {id_text} AS event_id, {currency} AS currency,
                    row_number() OVER (PARTITION BY {keys} ORDER BY {date} NULLS LAST, fact_id,
-                                      {currency} NULLS LAST, country_code NULLS LAST) AS place
+                                      {currency} NULLS FIRST, country_code NULLS LAST) AS place
             FROM {rows} WHERE {where})
         WHERE place = 1 AND date IS NOT NULL"""
 

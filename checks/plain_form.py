@@ -92,7 +92,7 @@ def _branch(
         order = Window.partitionBy(*rank_by).orderBy(
             F.col("_date").asc_nulls_last(),
             F.col("fact_id"),
-            F.col("_currency").asc_nulls_last(),
+            F.col("_currency"),
             F.col("country_code").asc_nulls_last(),
         )
         rows = rows.withColumn("_place", F.row_number().over(order)).where("_place = 1")

@@ -9,6 +9,8 @@ from milepost.config import FunnelConfig
 from milepost.functions.predicates import created_since, is_primary
 from milepost.sources import Sources
 
+COHORT_COLUMNS = ["profile_id", "profile_date_created", "class", "country_code"]
+
 
 def new_profiles(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     return sources.user_profile.where(created_since(F.col("date_created"), cfg.start_date)).select(

@@ -10,12 +10,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from milepost.functions.columns import NO_CURRENCY
-
 
 @dataclass(frozen=True, eq=False)
 class Event:
-    """Which rows of a fact table are events, and where their parts are."""
+    """Which rows of a fact table are events, and where their parts are. Some events have no currency."""
 
     date: Column
     event_id: Column
@@ -28,14 +26,18 @@ class Event:
         return dated if self.when is None else self.when & dated
 
     def value(self) -> Column:
-        """Struct that sorts by date, then id, then currency with missing ones last."""
-        currency = F.lit(NO_CURRENCY) if self.currency is None else self.currency
-        return F.struct(
-            self.date.alias("date"),
-            self.event_id.alias("event_id"),
-            currency.isNull().alias("no_currency"),
-            currency.alias("currency"),
-        )
+        """Struct that sorts by date, then id, then currency."""
+        parts = [self.date.alias("date"), self.event_id.alias("event_id")]
+        if self.currency is not None:
+            parts.append(self.currency.alias("currency"))
+        return F.struct(*parts)
+
+
+def _values(events: Mapping[str, Event]) -> dict[str, Column]:
+    """The events' structs for rows that have at least one of them, null where a row lacks one."""
+    if len(events) == 1:
+        return {name: event.value() for name, event in events.items()}
+    return {name: F.when(event.counts(), event.value()) for name, event in events.items()}
 
 
 def _any(events: Mapping[str, Event]) -> Column:
@@ -44,9 +46,7 @@ def _any(events: Mapping[str, Event]) -> Column:
 
 def all_events(facts: DataFrame, keys: Sequence[str], events: Mapping[str, Event]) -> DataFrame:
     """Every fact row with an event, one struct column per named event."""
-    return facts.where(_any(events)).select(
-        *keys, *[F.when(event.counts(), event.value()).alias(name) for name, event in events.items()]
-    )
+    return facts.where(_any(events)).select(*keys, *[value.alias(name) for name, value in _values(events).items()])
 
 
 def first_events(facts: DataFrame, keys: Sequence[str], events: Mapping[str, Event]) -> DataFrame:
@@ -59,7 +59,7 @@ def first_events(facts: DataFrame, keys: Sequence[str], events: Mapping[str, Eve
     return (
         facts.where(_any(events))
         .groupBy(*keys)
-        .agg(*[F.min(F.when(event.counts(), event.value())).alias(name) for name, event in events.items()])
+        .agg(*[F.min(value).alias(name) for name, value in _values(events).items()])
     )
 
 

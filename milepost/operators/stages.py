@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from milepost.config import FunnelConfig
 from milepost.functions.columns import NO_CURRENCY, cohort_month, cohort_week, event_id_text, profile_type
 from milepost.functions.predicates import within_days
+from milepost.operators.cohort import COHORT_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -53,20 +54,24 @@ def stage_rows(df: DataFrame, stages: Sequence[Stage], schema: StructType, cfg:
     replaced by a later one inside.
     """
     created = F.col("profile_date_created")
+
+    def currency(event: str) -> Column:
+        known = "currency" in df.schema[event].dataType.names
+        return F.col(f"{event}.currency") if known else F.lit(NO_CURRENCY)
+
     found = F.array(
         *[
             F.struct(
                 F.lit(stage.label).alias("event"),
                 F.col(f"{stage.event}.date").alias("date"),
-                F.col(f"{stage.event}.currency").alias("currency"),
+                currency(stage.event).alias("currency"),
                 stage.id_text(F.col(f"{stage.event}.event_id")).alias("event_id"),
                 within_days(F.col(f"{stage.event}.date"), created, stage.until, stage.after).alias("reached"),
             )
             for stage in stages
         ]
     )
-    carried = [name for name in ("profile_id", "profile_date_created", "class", "country_code")]
-    return _layout(df.select(*carried, F.inline(found)).where("reached"), schema, cfg)
+    return _layout(df.select(*COHORT_COLUMNS, F.inline(found)).where("reached"), schema, cfg)
 
 
 def union_stages(parts: Sequence[DataFrame]) -> DataFrame:

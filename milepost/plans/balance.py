@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from milepost.config import BALANCE_DEFAULTS, FunnelConfig
 from milepost.functions.columns import verified_time
 from milepost.functions.predicates import completed_deposit, completed_non_deposit, is_verified
-from milepost.operators.cohort import cohort, cohort_profiles
+from milepost.operators.cohort import COHORT_COLUMNS, cohort, cohort_profiles
 from milepost.operators.events import Event, all_events, earliest, first_events
 from milepost.operators.paths import account_currency, accounts, balance_path, order_path, transactions
 from milepost.operators.stages import Stage, stage_rows, start_rows, union_stages
 from milepost.schemas import COHORT_FUNNEL_SCHEMA
 from milepost.sources import Sources
 
-_COHORT_COLUMNS = ["profile_id", "profile_date_created", "class", "country_code"]
-
 
 def stages(cfg: FunnelConfig) -> dict[str, Stage]:
     """Stages after the first, by key. Labels are fixed values."""
@@ -34,7 +32,7 @@ def stages(cfg: FunnelConfig) -> dict[str, Stage]:
 def opened_balances(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Every balance of a cohort row; this stage keeps them all."""
     opened = Event(F.col("creation_time"), F.col("balance_id"), F.col("currency"))
-    return all_events(balance_path(sources, cfg), _COHORT_COLUMNS, {"opened": opened})
+    return all_events(balance_path(sources, cfg), COHORT_COLUMNS, {"opened": opened})
 
 
 def verified_orders(sources: Sources, cfg: FunnelConfig) -> DataFrame:
@@ -45,7 +43,7 @@ def verified_orders(sources: Sources, cfg: FunnelConfig) -> DataFrame:
         F.col("currency"),
         is_verified(F.col("verification_status")),
     )
-    return all_events(order_path(sources, cfg), _COHORT_COLUMNS, {"verified": verified})
+    return all_events(order_path(sources, cfg), COHORT_COLUMNS, {"verified": verified})
 
 
 def transaction_events() -> dict[str, Event]:

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from milepost.config import CARD_DEFAULTS, FunnelConfig
 from milepost.functions.columns import days_after, id_with_time, id_with_time_and_days
-from milepost.operators.cohort import cohort
+from milepost.operators.cohort import COHORT_COLUMNS, cohort
 from milepost.operators.events import Event, all_events
 from milepost.operators.paths import card_path
 from milepost.operators.stages import Stage, stage_rows, start_rows, union_stages
 from milepost.schemas import COHORT_FUNNEL_SCHEMA
 from milepost.sources import Sources
 
-_COHORT_COLUMNS = ["profile_id", "profile_date_created", "class", "country_code"]
-
 
 def stages(cfg: FunnelConfig) -> dict[str, Stage]:
     """Stages after the first, by key. Labels are fixed values."""
@@ -48,7 +46,7 @@ def card_events() -> dict[str, Event]:
 
 def card_summaries(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Every summary row of a cohort row; all are kept."""
-    return all_events(card_path(sources, cfg), _COHORT_COLUMNS, card_events())
+    return all_events(card_path(sources, cfg), COHORT_COLUMNS, card_events())
 
 
 def card_stage(key: str, sources: Sources, cfg: FunnelConfig = CARD_DEFAULTS) -> DataFrame:

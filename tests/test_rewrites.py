@@ -10,6 +10,7 @@ from milepost.operators.hot_keys import hot_keys, join_many_to_one
 from milepost.operators.paths import action_path
 from milepost.plans import account, balance, card
 from milepost.sources import Sources
+from milepost.sources.star_adapter import star_sources
 from tests.helpers import action, bag, make_sources
 
 FUNNELS = {
@@ -26,9 +27,9 @@ def test_same_as_plain_form(sources_small, config, name):
 
 
 @pytest.fixture(scope="module")
-def skewed(sources_small) -> Sources:
+def skewed(spark, testdata) -> Sources:
     """A third and more of every fact table under one profile or account."""
-    tables = dict(vars(sources_small))
+    tables = dict(vars(star_sources(spark, f"{testdata}/sf0.001")))
     hot = F.col("order_id") % 3 == 0
     tables["bank_details_order_status"] = tables["bank_details_order_status"].withColumn(
         "profile_id", F.when(hot, 2).otherwise(F.col("profile_id"))
