@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,22 +56,24 @@ def stage_rows(df: DataFrame, stages: Sequence[Stage], schema: StructType, cfg:
     """
     created = F.col("profile_date_created")
 
-    def currency(event: str) -> Column:
-        known = "currency" in df.schema[event].dataType.names
-        return F.col(f"{event}.currency") if known else F.lit(NO_CURRENCY)
-
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(stage.label).alias("event"),
-                F.col(f"{stage.event}.date").alias("date"),
-                currency(stage.event).alias("currency"),
-                stage.id_text(F.col(f"{stage.event}.event_id")).alias("event_id"),
-                within_days(F.col(f"{stage.event}.date"), created, stage.until, stage.after).alias("reached"),
-            )
-            for stage in stages
+    def reached(stage: Stage) -> Column:
+        return within_days(F.col(f"{stage.event}.date"), created, stage.until, stage.after)
+
+    def row(stage: Stage) -> list[Column]:
+        event = stage.event
+        has_currency = "currency" in df.schema[event].dataType.names
+        return [
+            F.lit(stage.label).alias("event"),
+            F.col(f"{event}.date").alias("date"),
+            (F.col(f"{event}.currency") if has_currency else F.lit(NO_CURRENCY)).alias("currency"),
+            stage.id_text(F.col(f"{event}.event_id")).alias("event_id"),
         ]
-    )
+
+    # Most rows reach no stage; they go before anything is built for them.
+    df = df.where(reduce(or_, [reached(stage) for stage in stages]))
+    if len(stages) == 1:
+        return _layout(df.select(*COHORT_COLUMNS, *row(stages[0])), schema, cfg)
+    found = F.array(*[F.struct(*row(stage), reached(stage).alias("reached")) for stage in stages])
     return _layout(df.select(*COHORT_COLUMNS, F.inline(found)).where("reached"), schema, cfg)
 
 
