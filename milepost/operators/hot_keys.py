@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Keys looked at one by one. A key outside this list holds less than 1/1000 of
-# the rows and is joined like any other.
+# Keys looked at one by one. A key outside this list holds no more than about
+# 1/1000 of the rows and is joined like any other.
 MAX_HOT_KEYS = 1000
 TRACKED_KEYS = 10000
 
@@ -37,17 +37,23 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
 
     The rows of a hot key are dealt over several parts by their content, and
     only the matching rows of ``one`` are copied to each part, so no task gets
-    a whole hot group. Other keys have a single part. The broadcast sides are
-    the hot key lists, whose size ``hot_keys`` bounds.
+    a whole hot group. Other keys have a single part. The broadcast side is the
+    list of hot keys, whose size ``hot_keys`` bounds. Equal rows get the same
+    part, also when a lost task is run again; a large group of equal rows is
+    left to Spark's own skew splitting, which applies to this join.
+
+    Meant for joins on a key that ``one`` was already joined on. There Spark
+    keeps the partitioning and does not split skewed partitions by itself;
+    where both sides are shuffled for the join, a plain join is enough.
     """
-    hot = hot_keys(many, key)
-    copies = hot.select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+    hot = F.broadcast(hot_keys(many, key))
     part = F.pmod(F.xxhash64(*[F.col(name) for name in many.columns]), F.col("parts")).cast("int")
     dealt = (
         many.where(F.col(key).isNotNull())
-        .join(F.broadcast(hot), key, "left")
+        .join(hot, key, "left")
         .withColumn("_part", F.coalesce(part, F.lit(0)))
         .drop("parts")
     )
-    copied = one.join(F.broadcast(copies), key, "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    copied = one.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("parts")
     return dealt.join(copied, [key, "_part"]).drop("_part")
