@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Keys looked at one by one. A key outside this list holds no more than about
 # 1/1000 of the rows and is joined like any other.
 MAX_HOT_KEYS = 1000
-TRACKED_KEYS = 10000
+TRACKED_KEYS = 4000
+# Tasks that merge the sketches of all scan tasks before the last one does.
+MERGE_TASKS = 256
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -17,14 +19,27 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     Returns (key, parts) with the number of partitions worth of rows each key
     holds. One pass over the key column; at most ``MAX_HOT_KEYS`` rows, and
     ``parts`` adds up to the number of shuffle partitions plus the row count.
+
+    Each scan task sends one sketch of bounded size. They are merged in two
+    steps, so that no task gets one from every scan task.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.col("top.count") / F.col("total")
-    return (
+    sketches = (
         df.where(F.col(key).isNotNull())
+        .select(key, (F.spark_partition_id() % MERGE_TASKS).alias("merge_task"))
+        .groupBy("merge_task")
+        .agg(
+            F.count(key).alias("rows"),
+            F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED_KEYS})").alias("sketch"),
+        )
+    )
+    # Grouped by a constant: of an empty table there is no sketch to merge, and no row.
+    return (
+        sketches.groupBy(F.lit(0).alias("all"))
         .agg(
-            F.count(key).alias("total"),
-            F.expr(f"approx_top_k(`{key}`, {MAX_HOT_KEYS}, {TRACKED_KEYS})").alias("tops"),
+            F.sum("rows").alias("total"),
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED_KEYS}), {MAX_HOT_KEYS})").alias("tops"),
         )
         .select("total", F.explode("tops").alias("top"))
         .select(F.col("top.item").alias(key), F.ceil(share * partitions).cast("int").alias("parts"))

@@ -81,6 +81,23 @@ def test_hot_key_rows_are_dealt_over_several_parts(spark):
     assert bag(joined) == bag(spread.join(one, "key"))
 
 
+def test_no_task_gets_a_whole_hot_group(spark):
+    many = spark.range(9000).select(F.when(F.col("id") < 6000, -1).otherwise(F.col("id")).alias("key"), "id")
+    one = spark.range(-1, 9000).select(F.col("id").alias("key"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = join_many_to_one(many, one, "key").where("key = -1")
+        sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 6000
+    assert max(sizes) <= 4000 and len(sizes) > 2
+
+
 def test_join_drops_null_and_unmatched_keys(spark):
     many = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (3, "c")], "key long, name string")
     one = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "key long, value string")
