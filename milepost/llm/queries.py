@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milepost.llm import op1_reshard, op2_toxicity, op4_setsketch, op5_pii, op7_language, op8_quality, op10_sentence_spans
+from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op7_language, op8_quality, op10_sentence_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_reshard": op1_reshard.op1_reshard,
         "op2_toxicity": op2_toxicity.op2_toxicity,
+        "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
         "op4_setsketch": op4_setsketch.op4_setsketch,
         "op5_pii": op5_pii.op5_pii,
         "op7_language": op7_language.op7_language,
