@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op7_language, op8_quality, op10_sentence_spans
+from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op6_spaced_seeds, op7_language, op8_quality, op10_sentence_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def all_queries() -> dict[str, Query]:
         "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
         "op4_setsketch": op4_setsketch.op4_setsketch,
         "op5_pii": op5_pii.op5_pii,
+        "op6_spaced_seeds": op6_spaced_seeds.op6_spaced_seeds,
         "op7_language": op7_language.op7_language,
         "op8_quality": op8_quality.op8_quality,
         "op10_sentence_spans": op10_sentence_spans.op10_sentence_spans,
@@ -26,6 +27,7 @@ def all_queries() -> dict[str, Query]:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op6_spaced_seeds": op6_spaced_seeds.SQL,
         "op8_quality": op8_quality.SQL,
         "op10_sentence_spans": op10_sentence_spans.SQL,
     }
