@@ -190,6 +190,18 @@ def phrases(texts: list[str | None], automata: Automata) -> tuple[np.ndarray, np
     return counts, sizes, letters
 
 
+def judged(texts: list[str | None], automata: Automata) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    counts, sizes, letters = phrases(texts, automata)
+    known = (letters > 0) & bool(automata.languages)
+    entropy = counts * np.asarray(automata.bits) / np.maximum(sizes, 1)[:, None]
+    entropy = np.concatenate([entropy, np.full((len(texts), 2), np.inf)], 1)
+    best, two = entropy.argmin(1), np.sort(entropy, 1)[:, :2]
+    score = np.ones(len(texts))
+    np.divide(two[:, 1], two.sum(1), out=score, where=np.isfinite(two[:, 1]))
+    return [automata.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
+
+
 def predict(docs: DataFrame, automata: Automata) -> DataFrame:
     """doc_id, lang_pred and score of every row.
 
@@ -199,25 +211,27 @@ def predict(docs: DataFrame, automata: Automata) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(automata)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts, sizes, letters = phrases(texts, m)
-            known = (letters > 0) & bool(m.languages)
-            entropy = counts * np.asarray(m.bits) / np.maximum(sizes, 1)[:, None]
-            entropy = np.concatenate([entropy, np.full((len(texts), 2), np.inf)], 1)
-            best = entropy.argmin(1)
-            two = np.sort(entropy, 1)[:, :2]
-            score = np.ones(len(texts))
-            np.divide(two[:, 1], two.sum(1), out=score, where=np.isfinite(two[:, 1]))
-            names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-            columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))]
+            names, score = judged(batch.column("text").to_pylist(), model.value)
+            columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is known; those that are `und` go."""
+    model = docs.sparkSession.sparkContext.broadcast(automata)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = judged(batch.column("text").to_pylist(), model.value)
+            yield batch.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
