@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op6_spaced_seeds, op7_language, op8_quality, op10_sentence_spans
+from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op6_spaced_seeds, op7_language, op8_quality, op9_suffix_dedup, op10_sentence_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def all_queries() -> dict[str, Query]:
         "op6_spaced_seeds": op6_spaced_seeds.op6_spaced_seeds,
         "op7_language": op7_language.op7_language,
         "op8_quality": op8_quality.op8_quality,
+        "op9_suffix_dedup": op9_suffix_dedup.op9_suffix_dedup,
         "op10_sentence_spans": op10_sentence_spans.op10_sentence_spans,
     }
 

@@ -41,13 +41,15 @@ def _tables(breaks: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ends, values
 
 
+#: Two independent values for each byte as it is.
+BYTES, BYTES2 = constants(256, 131), constants(256, 177)
 WORDS = _tables(WHITE)
 TERMS = _tables(bytes(c for c in range(128) if not chr(c).isalnum()))
 Tables = tuple[np.ndarray, np.ndarray]
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if len(_powers.get("up", ())) < n:
         base = 0x27D4EB2F165667C5
@@ -79,7 +81,7 @@ def _hash_joined(data: bytes, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    up, down = _power(len(b))
+    up, down = powers(len(b))
     return mix(np.add.reduceat(tables[1][b] * up, starts) * down[starts]), starts
 
 
