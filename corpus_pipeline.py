@@ -12,33 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milepost.llm import op3_sentencepiece, op4_setsketch, op5_pii, op6_spaced_seeds, op7_language
-from milepost.llm.common import stored, table
+from milepost.llm.common import ship, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, whose language cannot be told."""
+    ship(spark)
     return op7_language.with_language(docs, op7_language.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies: shingles of five words, similarity 0.8."""
+    ship(spark)
     return op4_setsketch.without_copies(docs, op4_setsketch.Rule(words=5, percent=80))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, exactly or with words exchanged."""
+    ship(spark)
     return op6_spaced_seeds.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets."""
+    ship(spark)
     return op5_pii.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with the number of them and whether decoding gives the text back."""
+    ship(spark)
     marked = docs.select("doc_id", "lang", "source", "n_chars", F.xxhash64("text").alias("before"), "text")
     found = op3_sentencepiece.tokenize(marked)
     return found.select(
