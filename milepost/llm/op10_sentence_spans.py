@@ -39,14 +39,17 @@ def runs(split: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
     """doc_id, key, start (0-based) and hash of every run of `span` sentences; a shorter document is one run."""
     n = F.size("sentences")
     length = F.least(n, F.lit(span))
+    split = split.withColumn("sizes", F.transform("sentences", lambda s: F.size(F.split(s, r"[\x20\x09-\x0D]+"))))
+    # Element by element: slice() in a lambda would copy the whole array for each position.
     hashed = F.transform(
-        F.sequence(F.lit(1), n - length + 1),
+        F.sequence(F.lit(0), n - length),
         lambda i: F.when(
-            F.size(F.split(F.array_join(F.slice("sentences", i, F.lit(span)), " "), r"[\x20\x09-\x0D]+")) >= min_words,
-            F.xxhash64(F.slice("sentences", i, F.lit(span))),
+            sum((F.coalesce(F.get("sizes", i + k), F.lit(0)) for k in range(span)), F.lit(0)) >= min_words,
+            F.xxhash64(*[F.get("sentences", i + k) for k in range(span)]),
         ),
     )
-    rows = split.where(n > 0).select("doc_id", "key", F.posexplode(hashed).alias("start", "hash"))
+    # The outer form, as for the inner one Spark would test the array's size on the scan, where it is computed anew.
+    rows = split.select("doc_id", "key", F.posexplode_outer(hashed).alias("start", "hash"))
     return rows.where("hash IS NOT NULL")
 
 
