@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import fields
 
@@ -182,7 +182,7 @@ def _reports() -> dict[str, Build]:
         return account.account_funnel(s, CONFIG)
 
     return {
-        "agg_profile_base": lambda s: profile_base(funnel(s)),
+        "agg_profile_base": lambda s: profile_base(account.account_stage("account_1_profile_created", s, CONFIG)),
         "agg_event_counts": lambda s: event_counts(funnel(s)),
         "agg_pct_of_base": lambda s: percent_of_base(event_counts(funnel(s))),
         "report_order": lambda s: conversion(funnel(s)),
@@ -237,20 +237,26 @@ def _funnels() -> dict[str, Build]:
     }
 
 
-def _publish(spark: SparkSession, write: Callable[[DataFrame, str, str], DataFrame], df: DataFrame) -> DataFrame:
-    # A name of its own for each call: a table folder left by an ended session cannot be in the way.
-    return write(df, spark.catalog.currentDatabase(), f"published_{uuid.uuid4().hex[:12]}")
+def _publish(key: str, write: Callable[[DataFrame, str, str], DataFrame], build: Build, then: Callable | None = None) -> Query:
+    """Publishes a funnel and returns the table read back, or what `then` makes of it. One table for each key and folder,
+    which the next call replaces."""
+
+    def query(spark: SparkSession, directory: str) -> DataFrame:
+        name = f"published_{key}_{zlib.crc32(directory.encode()):08x}"
+        table = write(build(star_sources(spark, directory)), spark.catalog.currentDatabase(), name)
+        return then(table) if then else table
+
+    return query
 
 
 def _sinks() -> dict[str, Query]:
-    built = {**_reports(), **_funnels()}
+    built = _funnels()
     return {
-        "publish_replace": lambda spark, directory: _publish(
-            spark, publish_replace, built["account_conversion"](star_sources(spark, directory))
-        ),
-        "publish_staged_swap": lambda spark, directory: _publish(
-            spark, publish_staged_swap, built["card_funnel"](star_sources(spark, directory))
-        ),
+        "publish_replace": _publish("account", publish_replace, built["account_funnel"]),
+        "publish_balance_funnel": _publish("balance", publish_replace, built["balance_funnel"]),
+        "publish_staged_swap": _publish("card", publish_staged_swap, built["card_funnel"]),
+        "published_account_conversion": _publish("account_report", publish_replace, built["account_funnel"], conversion),
+        "published_card_conversion": _publish("card_report", publish_staged_swap, built["card_funnel"], conversion),
     }
 
 

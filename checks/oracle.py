@@ -335,7 +335,10 @@ def _bodies() -> dict[str, str]:
         "account_funnel": account,
         "balance_funnel": _union(BALANCE),
         "card_funnel": card,
-        "publish_replace": report,
+        "publish_replace": account,
+        "publish_balance_funnel": _union(BALANCE),
+        "published_account_conversion": report,
+        "published_card_conversion": _report(card),
         "publish_staged_swap": card,
     }
 

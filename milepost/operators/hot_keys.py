@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Keys looked at one by one. A key outside this list holds no more than about
-# 1/1000 of the rows and is joined like any other.
-MAX_HOT_KEYS = 1000
-TRACKED_KEYS = 4000
-# Tasks that merge the sketches of all scan tasks before the last one does.
+# Items a sketch tracks for each shuffle partition. It can miss a key only if
+# the key holds less than about a quarter of a partition's share.
+TRACKED_PER_PARTITION = 16
+# What the sketch function accepts at most; beyond 62500 partitions it tracks
+# fewer items for each, and still more than there can be hot keys.
+TRACKED_LIMIT = 1_000_000
+# Tasks that merge the sketches of all scan tasks before the last one does. Only their fan-in depends on it.
 MERGE_TASKS = 256
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions that a shuffle of this session starts with."""
+    for name in ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions"):
+        value = spark.conf.get(name, None)
+        if value and value.isdigit():
+            return int(value)
+    return spark.sparkContext.defaultParallelism
+
+
+def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Keys holding more than one shuffle partition's share of ``df``.
 
     Returns (key, parts) with the number of partitions worth of rows each key
-    holds. One pass over the key column; at most ``MAX_HOT_KEYS`` rows, and
-    ``parts`` adds up to the number of shuffle partitions plus the row count.
+    holds. One pass over the key column. Fewer than ``partitions`` keys can
+    hold more than a share each, so that many are asked for and none is left
+    out; ``parts`` adds up to at most twice the number of partitions.
 
     Each scan task sends one sketch of bounded size. They are merged in two
     steps, so that no task gets one from every scan task.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or shuffle_partitions(df.sparkSession)
+    tracked = min(TRACKED_LIMIT, max(1024, TRACKED_PER_PARTITION * partitions))
     share = F.col("top.count") / F.col("total")
     sketches = (
         df.where(F.col(key).isNotNull())
@@ -31,7 +44,7 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
         .groupBy("merge_task")
         .agg(
             F.count(key).alias("rows"),
-            F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED_KEYS})").alias("sketch"),
+            F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"),
         )
     )
     # Grouped by a constant: of an empty table there is no sketch to merge, and no row.
@@ -39,7 +52,7 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
         sketches.groupBy(F.lit(0).alias("all"))
         .agg(
             F.sum("rows").alias("total"),
-            F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED_KEYS}), {MAX_HOT_KEYS})").alias("tops"),
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {min(partitions, tracked)})").alias("tops"),
         )
         .select("total", F.explode("tops").alias("top"))
         .select(F.col("top.item").alias(key), F.ceil(share * partitions).cast("int").alias("parts"))
@@ -47,22 +60,23 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def join_many_to_one(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+def join_many_to_one(many: DataFrame, one: DataFrame, key: str, row_id: str) -> DataFrame:
     """Inner join on ``key`` where ``many`` may hold a large share of its rows under one key.
 
-    The rows of a hot key are dealt over several parts by their content, and
-    only the matching rows of ``one`` are copied to each part, so no task gets
+    The rows of a hot key are dealt over several parts by ``row_id``, a column
+    that tells them apart, so other columns can still be pruned. Only the matching rows of ``one`` are copied to each part, so no task gets
     a whole hot group. Other keys have a single part. The broadcast side is the
-    list of hot keys, whose size ``hot_keys`` bounds. Equal rows get the same
-    part, also when a lost task is run again; a large group of equal rows is
-    left to Spark's own skew splitting, which applies to this join.
+    list of hot keys, fewer than there are shuffle partitions. Rows of one id
+    get the same part, also when a lost task is run again; a large group of
+    them is left to Spark's own skew splitting, which applies to this join.
+    Finding the hot keys costs a second pass over the key column of ``many``.
 
     Meant for joins on a key that ``one`` was already joined on. There Spark
     keeps the partitioning and does not split skewed partitions by itself;
     where both sides are shuffled for the join, a plain join is enough.
     """
     hot = F.broadcast(hot_keys(many, key))
-    part = F.pmod(F.xxhash64(*[F.col(name) for name in many.columns]), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int")
     dealt = (
         many.where(F.col(key).isNotNull())
         .join(hot, key, "left")

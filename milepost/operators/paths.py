@@ -35,7 +35,7 @@ def account_currency(sources: Sources) -> DataFrame:
 
 def account_holders(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort rows with their accounts."""
-    return join_many_to_one(accounts(sources), cohort(sources, cfg), "profile_id")
+    return join_many_to_one(accounts(sources), cohort(sources, cfg), "profile_id", "account_id")
 
 
 def balance_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
@@ -46,17 +46,17 @@ def balance_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
 def transaction_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, account, transaction, with the account's smallest currency."""
     holders = account_holders(sources, cfg).join(account_currency(sources), "account_id")
-    return join_many_to_one(transactions(sources), holders, "account_id")
+    return join_many_to_one(transactions(sources), holders, "account_id", "transaction_id")
 
 
 def order_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, bank-detail order."""
-    return join_many_to_one(sources.bank_details_order_status, cohort(sources, cfg), "profile_id")
+    return join_many_to_one(sources.bank_details_order_status, cohort(sources, cfg), "profile_id", "order_id")
 
 
 def receipt_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, incoming transfer."""
-    return join_many_to_one(sources.receive_transactions, cohort(sources, cfg), "profile_id")
+    return join_many_to_one(sources.receive_transactions, cohort(sources, cfg), "profile_id", "request_id")
 
 
 def card_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
@@ -66,7 +66,7 @@ def card_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     and only goes into event ids.
     """
     cards = sources.card_issuance_summary.withColumnsRenamed({"profile_id": "card_profile_id", "user_id": "profile_id"})
-    return join_many_to_one(cards, cohort(sources, cfg), "profile_id")
+    return join_many_to_one(cards, cohort(sources, cfg), "profile_id", "card_profile_id")
 
 
 def action_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
@@ -79,6 +79,6 @@ def action_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     actions = sources.action_step.where(
         successful_balance_action(F.col("successful_action"), F.col("product_type"))
     ).withColumnRenamed("user_profile_id", "profile_id")
-    matched = join_many_to_one(actions, holders, "profile_id")
+    matched = join_many_to_one(actions, holders, "profile_id", "action_id")
     active = actions.select("profile_id").distinct()
     return matched.unionByName(holders.join(active, "profile_id", "left_anti"), allowMissingColumns=True)

@@ -14,7 +14,7 @@ def event_counts(funnel: DataFrame) -> DataFrame:
 
 
 def profile_base(funnel: DataFrame) -> DataFrame:
-    """Non-null event ids of the first step."""
+    """Non-null event ids of the first step. Any rows with those of the first step will do: a funnel, or that stage alone."""
     return (
         funnel.where(F.col("event") == PROFILE_CREATED)
         .agg(F.count("event_id").alias("event_count"))

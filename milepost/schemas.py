@@ -110,5 +110,6 @@ def _castable(found: str, wanted: str) -> bool:
     if wanted in whole:
         return found in whole or (found.startswith("decimal") and found.endswith(",0)"))
     if wanted == "timestamp_ntz":
-        return found in ("timestamp", "date")
+        # Not "timestamp": which wall-clock time it stands for would depend on the session's zone.
+        return found == "date"
     return wanted == "string" and found.startswith(("char", "varchar"))

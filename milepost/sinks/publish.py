@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -9,11 +11,24 @@ def _quoted(*parts: str) -> str:
     return ".".join(f"`{part}`" for part in parts)
 
 
+def _swap(df: DataFrame, schema: str, name: str, beside: str) -> DataFrame:
+    """Build the table beside, then put it in place. A query that fails leaves the old table as it was."""
+    spark = df.sparkSession
+    target, staging = _quoted(schema, name), _quoted(schema, beside)
+    df.write.mode("overwrite").saveAsTable(staging)
+    spark.sql(f"DROP TABLE IF EXISTS {target}")
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
+    spark.catalog.refreshTable(target)
+    return spark.table(target)
+
+
 def publish_replace(df: DataFrame, schema: str, name: str) -> DataFrame:
-    """Replace the table with ``df`` and return it as read back. ``df`` must not read the table itself."""
-    target = _quoted(schema, name)
-    df.write.mode("overwrite").saveAsTable(target)
-    return df.sparkSession.table(target)
+    """Replace the table with ``df`` and return it as read back.
+
+    The rows are first written beside it under a name of this call's own, so
+    the old table stays whole if the query fails, and the query may read it.
+    """
+    return _swap(df, schema, name, f"{name}_{uuid.uuid4().hex[:12]}")
 
 
 def publish_staged_swap(df: DataFrame, schema: str, name: str) -> DataFrame:
@@ -22,9 +37,4 @@ def publish_staged_swap(df: DataFrame, schema: str, name: str) -> DataFrame:
     The long part happens while the old table is still there. It is absent only
     between the drop and the rename, which touch the catalog alone.
     """
-    spark = df.sparkSession
-    target, staging = _quoted(schema, name), _quoted(schema, f"{name}_load")
-    df.write.mode("overwrite").saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {target}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
-    return spark.table(target)
+    return _swap(df, schema, name, f"{name}_load")

@@ -29,6 +29,16 @@ def test_replace_twice_and_report_from_the_table(spark):
     assert [tuple(row) for row in conversion(table).collect()] == [("1. PROFILE_CREATED", 1, 100.0)]
 
 
+@pytest.mark.parametrize("publish", [publish_replace, publish_staged_swap])
+def test_a_failing_query_leaves_the_old_table_whole(spark, publish):
+    spark.sql("CREATE DATABASE IF NOT EXISTS reports")
+    publish(spark.range(3), "reports", "kept")
+    failing = spark.range(9).select(F.when(F.col("id") > 5, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        publish(failing, "reports", "kept")
+    assert spark.table("reports.kept").count() == 3
+
+
 def test_staged_swap_twice(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS reports")
     funnel = card_funnel(make_sources(spark))
@@ -69,6 +79,18 @@ def test_missing_table_and_column_and_wrong_type(spark):
         conform(spark.sql("SELECT 'a' AS id, 1 AS profile_id"), schema, "account")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_zoned_times_are_refused_in_any_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        zoned = spark.sql("SELECT 1L AS id, timestamp'2020-01-01 00:00:00' AS date_created, 'x' AS class")
+        with pytest.raises(ValueError, match="date_created is timestamp, expected timestamp_ntz"):
+            conform(zoned, SOURCE_SCHEMAS["user_profile"], "user_profile")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_narrow_numbers_upper_case_names_and_extra_columns_are_accepted(spark):
     df = conform(spark.sql("SELECT 1 AS extra, 2 AS PROFILE_ID, 3BD AS ID"), SOURCE_SCHEMAS["account"], "account")
     assert [(field.name.lower(), field.dataType.simpleString()) for field in df.schema.fields] == [

@@ -73,10 +73,16 @@ def test_hot_keys_are_found_with_their_share(spark):
     assert hot_keys(rows.limit(0), "key").collect() == []
 
 
+def test_no_hot_key_is_left_out_however_many_there_are(spark):
+    # 2000 keys of two partitions' worth each, if there are 4000 partitions.
+    rows = spark.range(0, 400_000).select((F.col("id") % 2000).alias("key"))
+    assert sorted(tuple(row) for row in hot_keys(rows, "key", 4000).collect()) == [(key, 2) for key in range(2000)]
+
+
 def test_hot_key_rows_are_dealt_over_several_parts(spark):
     spread = spark.range(9000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("key"), "id")
     one = spark.range(-1, 9000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
-    joined = join_many_to_one(spread, one, "key")
+    joined = join_many_to_one(spread, one, "key", "id")
     assert joined.columns == ["key", "id", "value"]
     assert bag(joined) == bag(spread.join(one, "key"))
 
@@ -89,7 +95,7 @@ def test_no_task_gets_a_whole_hot_group(spark):
     try:
         for name, value in settings.items():
             spark.conf.set(name, value)
-        joined = join_many_to_one(many, one, "key").where("key = -1")
+        joined = join_many_to_one(many, one, "key", "id").where("key = -1")
         sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     finally:
         for name, value in before.items():
@@ -101,7 +107,7 @@ def test_no_task_gets_a_whole_hot_group(spark):
 def test_join_drops_null_and_unmatched_keys(spark):
     many = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (3, "c")], "key long, name string")
     one = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "key long, value string")
-    assert bag(join_many_to_one(many, one, "key")) == bag(many.join(one, "key"))
+    assert bag(join_many_to_one(many, one, "key", "name")) == bag(many.join(one, "key"))
 
 
 def test_left_path_keeps_holders_without_actions(spark, config):
