@@ -6,10 +6,10 @@ a register with about their Jaccard similarity. Bands of registers propose pairs
 larger, smaller and equal registers drops pairs that are clearly less similar; the rest is confirmed on the full sets.
 
 Documents with equal sets are one node. In a band's bucket every node is first paired with the smallest one. The links found
-give components. Only buckets that still hold several components are looked at again, and in them only pairs from different
-components that can reach the threshold at all: shingles that no other such node has cannot be common to two of them, which
-bounds the similarity of each pair by sizes alone. A large group of copies therefore costs a pair per copy, not per pair of
-copies, and no pair of a bucket is left out.
+give components. Only nodes of buckets that still hold several components are looked at again: their shingles are ordered by
+rarity, and since a link leaves few shingles out, two linked nodes share one among the rarest of both. Pairs that share such
+a shingle early enough, from different components, are verified as well. A large group of copies thus costs a pair per copy,
+not per pair of copies, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -126,12 +126,13 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """node and bucket, for the buckets that hold at least two nodes."""
+    """node, bucket, its smallest node and its number of nodes, for the buckets that hold at least two nodes."""
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)) for b in range(BANDS)])
-    rows = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return rows.join(shared, "bucket").select("node", "bucket", "low")
+    # Dealt once for both the aggregation and the join, as hardly any two rows of a task share a bucket.
+    rows = nodes.select("node", F.explode(bands).alias("bucket")).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("held")).where("held > 1")
+    return rows.join(shared, "bucket")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -147,7 +148,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Shuffled at every size, so that the plan and its cost do not change with the number of ids.
+    chosen = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     return chosen.mapInArrow(whole, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
@@ -169,7 +171,10 @@ def plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                 keep = pa.array(estimate(*rows, *sizes, rule.percent)[1])
                 yield batch.select(["a", "b"]).filter(keep)
 
-    return _both(pairs, nodes, ["registers", "n_shingles"]).mapInArrow(judged, "a long, b long")
+    sized = _both(pairs, nodes, ["n_shingles"])
+    least, most = (f("n_shingles_a", "n_shingles_b") for f in (F.least, F.greatest))
+    sized = sized.where(100 * least >= rule.percent * most)
+    return _both(sized, nodes, ["registers"]).mapInArrow(judged, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -209,37 +214,50 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def pending(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, bucket and component in buckets that hold several components."""
-    rows = found.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
+    """node and component of the nodes in buckets that hold several components; the one pair of two nodes is already known."""
+    rows = found.where("held > 2").select("node", "bucket").join(labels, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(several.select("bucket"), "bucket", "left_semi")
+    return rows.join(several.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
 
 
-def with_common(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds to node and n_shingles the number of shingles that another node of `sets` has too."""
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """component, n (size of the set), node and shingle."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+            rows = zip(batch.column("component").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles"), strict=True)
+            for component, node, x in rows:
                 own = np.frombuffer(x.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "shingle"])
+                facts = [pa.array(np.full(len(own), v, np.int64)) for v in (component, len(own), node)]
+                yield pa.RecordBatch.from_arrays([*facts, pa.array(own)], ["component", "n", "node", "shingle"])
 
-    rows = sets.mapInArrow(listed, "node long, shingle long")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    own = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    return nodes.join(own, "node", "left").select("node", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return sets.mapInArrow(listed, "component long, n long, node long, shingle long")
 
 
-def remaining_pairs(open_rows: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of one bucket and different components that sizes do not rule out; facts: node, n_shingles, common."""
-    able = facts.where(100 * F.col("common") >= rule.percent * F.col("n_shingles"))
-    rows = open_rows.join(able, "node")
-    first = rows.select("bucket", F.col("node").alias("a"), F.col("component").alias("c"), F.col("n_shingles").alias("n"), F.col("common").alias("m"))
-    second = rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("c2"), F.col("n_shingles").alias("n2"), F.col("common").alias("m2"))
-    most = F.least("m", "m2")
-    fits = 100 * most >= rule.percent * (F.col("n") + F.col("n2") - most)
-    pairs = first.join(second, "bucket").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("c2")) & fits)
-    return pairs.select("a", "b").distinct()
+def remaining_pairs(open_sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different components that may be links; open_sets: node, component, shingles.
+
+    With 100 I >= p U, that is (100 + p) I >= p (n1 + n2), two sets whose first common shingle, in an order of all shingles,
+    stands at i and j can have at most 1 + min(n1 - i, n2 - j) - 1 in common. The order is by rarity; a shingle of one node
+    only stands in front and needs no row.
+    """
+    p = rule.percent
+    rows = shingle_rows(open_sets)
+    known = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    known = known.where("df > 1").select("shingle", "df", (F.col("low") < F.col("high")).alias("crosses"))
+    ranked = rows.join(known, "shingle").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "crosses"))).alias("own"))
+    early = ranked.withColumn("alone", F.col("n") - F.size("own")).select(
+        "node", "component", "n", "alone", F.posexplode_outer("own").alias("k", "x")
+    )
+    early = early.select("node", "component", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle"), F.col("x.crosses").alias("crosses"))
+    # The other set has p percent of this one's size at least.
+    early = early.where(F.col("crosses") & (100 * (F.col("n") - F.col("at")) >= p * F.col("n"))).drop("crosses")
+    names = ["node", "component", "n", "at"]
+    first, second = (early.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
+    most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fits = (100 + p) * most >= p * (F.col("n1") + F.col("n2"))
+    pairs = first.join(second, "shingle").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & fits)
+    return pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -256,15 +274,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     found = stored(buckets(nodes), "buckets")
     stars = found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(plausible(stars, nodes, rule), "stars")
-    sets = sets_of(docs, stars.select(F.explode(F.array("a", "b")).alias("node")), rule)
+    sets = stored(sets_of(docs, found, rule), "sets")
     links = stored(confirmed(stars, sets, rule), "links")
     labels = components(links)
-    open_rows = stored(pending(found, labels), "open")
-    rest = sets_of(docs, open_rows, rule)
-    facts = with_common(open_rows.select("node").distinct().join(nodes.select("node", "n_shingles"), "node"), rest)
-    more = stored(plausible(remaining_pairs(open_rows, facts, rule), nodes, rule), "more")
-    ends = more.select(F.explode(F.array("a", "b")).alias("node"))
-    added = stored(confirmed(more, sets_of(docs, ends, rule), rule), "links")
+    more = remaining_pairs(sets.join(pending(found, labels), "node"), rule)
+    more = stored(plausible(more, nodes, rule), "more")
+    added = stored(confirmed(more, sets, rule), "links")
     if added.limit(1).count():
         labels = components(links.union(added))
     named = same.join(labels, "node", "left").select(
@@ -277,6 +292,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return full.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def without_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of `docs`, all columns, that are the smallest id of their component; of repeated rows one stays.
+
+    Rows without an id or without words stay, unless another row is equal in id and text.
+    """
+    found = stored(near_duplicates(docs, rule), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+
+
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), Rule(words=4))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
