@@ -178,15 +178,16 @@ def phrases(texts: list[str | None], automata: Automata) -> tuple[np.ndarray, np
         owner = np.concatenate(owners)
         columns = np.ascontiguousarray(np.concatenate(blocks).T).astype(np.int32)
         for x, steps in enumerate(automata.steps):
-            state, at, flag = (np.zeros(len(owner), np.int32) for _ in range(3))
-            ended = np.ones(len(owner), np.int32)
+            # From the last state every symbol begins a phrase.
+            state = np.full(len(owner), 2 * (len(steps) - width), np.int32)
+            at, flag, begun = (np.zeros(len(owner), np.int32) for _ in range(3))
             for column in columns:
                 np.right_shift(state, 1, out=at)
                 np.add(at, column, out=at)
                 np.take(steps, at, out=state, mode="clip")
                 np.bitwise_and(state, 1, out=flag)
-                np.add(ended, flag, out=ended)
-            counts[:, x] += np.bincount(owner, ended, len(texts)).astype(np.int64)
+                np.add(begun, flag, out=begun)
+            counts[:, x] += np.bincount(owner, begun, len(texts)).astype(np.int64)
     return counts, sizes, letters
 
 
