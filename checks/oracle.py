@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from milepost.config import PERSONAL_CLASS, PRIMARY_ADDRESS_TYPE, SUPPORTED_CURRENCIES
-from milepost.sources.star_adapter import BUSINESS_CLASS, CURRENCIES, START_DATE
+# Fixed values, written out so that a change of the library's own shows up here: classes and address type in the source data,
+# the currencies that count, those in the sample data, and the sample's start date.
+PERSONAL_CLASS = "com.transferwise.fx.user.PersonalUserProfile"
+BUSINESS_CLASS = "business"
+PRIMARY_ADDRESS_TYPE = "PRIMARY_USER_PROFILE_ADDRESS"
+SUPPORTED_CURRENCIES = ("GBP", "EUR", "USD", "AUD", "NZD", "SGD", "RON", "CAD", "HUF", "TRY")
+CURRENCIES = ("GBP", "EUR", "USD", "AUD", "NZD", "SGD", "RON", "CAD", "HUF", "TRY", "JPY", "INR")
+START_DATE = "1995-03-01"
 
 
 def _names(values) -> str:
