@@ -20,7 +20,7 @@ MASKS = ("1110110111", "1101111011", "1111001111")
 SPAN = len(MASKS[0])
 #: What an unequal word costs, and the score to reach: the smaller of MIN_SCORE and MIN_SHARE percent of the item's words.
 PENALTY, MIN_SCORE, MIN_SHARE = 2, 12, 60
-#: Seeds of the benchmark (about 1 kB each with their item) up to which they are broadcast.
+#: Seeds of the benchmark, about 50 bytes each, up to which they are broadcast.
 BROADCAST_SEEDS = 100_000
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -36,15 +36,9 @@ def seeds(words: str) -> Column:
     n = F.size(words) - SPAN + 1
 
     def of(mask: str) -> Column:
-        blocks, at = [], 0
-        for run in mask.split("0"):
-            if run:
-                blocks.append((at, len(run)))
-            at += len(run) + 1
-        return F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.xxhash64(F.lit(mask), *[F.slice(words, i + start, F.lit(size)) for start, size in blocks]),
-        )
+        # Element by element: slice() in a lambda would copy the whole array for each position.
+        used = [k for k, c in enumerate(mask) if c == "1"]
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in used]))
 
     return F.when(n > 0, F.concat(*[of(mask) for mask in MASKS]))
 
@@ -57,12 +51,16 @@ def _exploded(df: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.expr(f"k % (size(words) - {SPAN - 1})")).drop("k")
 
 
-def best_stretch(item: str, words: str, shift: Column) -> Column:
-    """Score of the best stretch of item words laid over the document's words, the first on position `shift` (0-based)."""
+def beside(words: str, shift: Column, size: Column) -> Column:
+    """The words of the document beside an item of `size` words whose first lies on position `shift` (0-based)."""
     first = F.greatest(F.lit(0), -shift)
-    here = F.slice(item, first + 1, F.size(item))
-    there = F.slice(words, F.greatest(shift, F.lit(0)) + 1, F.size(item) - first)
-    equal = F.zip_with(here, there, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return F.slice(words, F.greatest(shift, F.lit(0)) + 1, size - first)
+
+
+def best_stretch(item: str, window: str, shift: Column) -> Column:
+    """Score of the best stretch of the item's words and those beside it."""
+    here = F.slice(item, F.greatest(F.lit(0), -shift) + 1, F.size(item))
+    equal = F.zip_with(here, window, lambda a, b: F.coalesce(a == b, F.lit(False)))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
 
     def step(state: Column, same: Column) -> Column:
@@ -72,6 +70,24 @@ def best_stretch(item: str, words: str, shift: Column) -> Column:
     return F.aggregate(equal, start, step, lambda state: state["best"])
 
 
+def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, key, item_id, shift and the window beside the item, once for each alignment that some seed names.
+
+    docs: doc_id, key and words; items: item_id and words.
+    """
+    places = ["doc_id", "key", "item_id", "shift"]
+    known = _exploded(items).select("item_id", F.size("words").alias("n"), "seed", F.col("at").alias("item_at"))
+    window = beside("words", F.col("shift"), F.col("n"))
+    if known.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        hits = _exploded(docs).join(F.broadcast(known), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+        # As an aggregate, the window keeps the scoring out of the join, which would not be compiled with it.
+        return hits.groupBy(*places).agg(F.max(window).alias("window"))
+    slim = _exploded(docs).select("doc_id", "key", "seed", "at")
+    hits = slim.join(known, "seed").withColumn("shift", F.col("at") - F.col("item_at")).select(*places, "n").distinct()
+    texts = docs.select("key", "words").dropDuplicates(["key"])
+    return hits.join(texts, "key").select(*places, window.alias("window"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, shift (word of the document on which the item's first one lies) of each contaminated pair.
 
@@ -81,13 +97,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     items = items.select("item_id", word_hashes(F.col("item_text")).alias("words"))
-    known = _exploded(items).select("item_id", F.col("words").alias("item"), "seed", F.col("at").alias("item_at"))
-    if known.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        known = F.broadcast(known)
-    rows = _exploded(docs.select("doc_id", word_hashes(F.col("text")).alias("words")))
-    hits = rows.join(known, "seed").withColumn("shift", F.col("at") - F.col("item_at"))
-    hits = hits.select("doc_id", "item_id", "shift", F.size("item").alias("n"), best_stretch("item", "words", F.col("shift")).alias("score"))
-    found = hits.where((F.col("score") >= MIN_SCORE) | (100 * F.col("score") >= MIN_SHARE * F.col("n")))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("words"))
+    named = items.select(F.col("item_id").alias("_item"), F.col("words").alias("item"))
+    hits = alignments(rows, items).join(named, F.col("item_id").eqNullSafe(F.col("_item")))
+    hits = hits.withColumn("score", best_stretch("item", "window", F.col("shift")))
+    found = hits.where((F.col("score") >= MIN_SCORE) | (100 * F.col("score") >= MIN_SHARE * F.size("item")))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").cast("long").alias("score"), (-F.col("best.back")).cast("long").alias("shift"))
 
