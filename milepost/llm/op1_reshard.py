@@ -76,6 +76,8 @@ def blocks(old_sizes: list[int], capacities: list[int]) -> list[Block]:
     """The blocks of a cheapest plan. Old and new shard of one number are the same place; the sums must be equal."""
     if sum(old_sizes) != sum(capacities):
         raise ValueError("capacities must add up to the sizes")
+    if not sum(old_sizes):
+        return []
     n, m = len(old_sizes), len(capacities)
     source, sink, hub = n + m, n + m + 1, n + m + 2
     arcs = [(source, i, size, 0) for i, size in enumerate(old_sizes)]

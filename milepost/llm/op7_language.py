@@ -222,13 +222,20 @@ def predict(docs: DataFrame, automata: Automata) -> DataFrame:
 
 
 def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is known; those that are `und` go."""
+    """The rows of `docs`, all columns, whose language is known; those that are `und` go.
+
+    Where no language was learnt, only rows without a letter go.
+    """
     model = docs.sparkSession.sparkContext.broadcast(automata)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _ = judged(batch.column("text").to_pylist(), model.value)
-            yield batch.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            if model.value.languages:
+                keep = [name != UNKNOWN for name in judged(texts, model.value)[0]]
+            else:
+                keep = (phrases(texts, model.value)[2] > 0).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 
