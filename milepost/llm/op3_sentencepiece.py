@@ -11,6 +11,8 @@ place, so a word's ids do not depend on its neighbours; each worker remembers th
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A character that no piece covers is spelt as bytes; it costs so much more than the worst piece.
 PENALTY = 10.0
-#: Words a worker remembers before it begins anew, and the longest word that it does remember.
-MEMORY, MEMORY_CHARS = 300_000, 48
+#: A worker remembers the words met last, between one and two times so many, none longer than so many characters.
+MEMORY, MEMORY_CHARS = 400_000, 48
 
 
 @dataclass(frozen=True)
@@ -36,10 +38,12 @@ class Vocabulary:
     pieces: dict[str, tuple[int, float]]
     byte_ids: tuple[int, ...]
     spelling: tuple[bytes, ...]
-    #: The beginnings of all pieces, the longest piece's length, and the score of a character that no piece covers.
-    starts: frozenset[str]
+    #: For every beginning of a piece the piece's id and score, or None if it is none itself.
+    starts: dict[str, tuple[int, float] | None]
+    #: The longest piece's length, the score of a character that no piece covers, and a digest of pieces and scores.
     longest: int
     unknown: float
+    digest: int
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -62,15 +66,42 @@ class Vocabulary:
 
     @staticmethod
     def of(pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelling: list[bytes]) -> Vocabulary:
-        starts = frozenset(p[:k] for p in pieces for k in range(1, len(p) + 1))
+        starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), None) | pieces
         unknown = min((s for _, s in pieces.values()), default=0.0) - PENALTY
-        return Vocabulary(pieces, tuple(byte_ids), tuple(spelling), starts, max(map(len, pieces), default=1), unknown)
+        digest = zlib.crc32(repr(sorted(pieces.items())).encode())
+        return Vocabulary(pieces, tuple(byte_ids), tuple(spelling), starts, max(map(len, pieces), default=1), unknown, digest)
 
     def words_stand_alone(self) -> bool:
         """Whether no piece has the space mark after another character, or a line end beside any."""
         return not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.DOTALL) for p in self.pieces)
 
 
+def _bytes_of(char: str, v: Vocabulary) -> list[int]:
+    return [v.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
+
+
+def search(text: str, v: Vocabulary) -> list[int]:
+    """Ids of a short text, with all its paths kept to the end; the same as stream() gives."""
+    n, longest, find = len(text), v.longest, v.starts.get
+    best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+    for i in range(n):
+        so_far = best[i]
+        if text[i] not in v.pieces and best[i + 1] < so_far + v.unknown:
+            best[i + 1], back[i + 1] = so_far + v.unknown, (i, -1)
+        for j in range(i + 1, min(n, i + longest) + 1):
+            known = find(text[i:j], 0)
+            if known == 0:
+                break
+            if known and best[j] < so_far + known[1]:
+                best[j], back[j] = so_far + known[1], (i, known[0])
+    own, at = [], n
+    while at:
+        start, found = back[at]
+        own.extend(reversed(_bytes_of(text[start:at], v)) if found < 0 else (found,))
+        at = start
+    return own[::-1]
+
+
 def stream(text: str, v: Vocabulary, every: int | None = None) -> Iterator[int]:
     """Ids of a text, spaces already replaced by the space mark. Ties go to the piece that begins first.
 
@@ -79,29 +110,24 @@ def stream(text: str, v: Vocabulary, every: int | None = None) -> Iterator[int]:
     longest, unknown = v.longest, v.unknown
     every = every or 4 * longest
     best, back, done = {0: 0.0}, {}, 0
-    n, pieces, starts = len(text), v.pieces, v.starts
+    n, pieces, find = len(text), v.pieces, v.starts.get
 
     def ids(upto: int) -> list[int]:
         own, at = [], upto
         while at > done:
             start, found = back[at]
-            own.extend(reversed(v_bytes(text[start:at])) if found < 0 else (found,))
+            own.extend(reversed(_bytes_of(text[start:at], v)) if found < 0 else (found,))
             at = start
         return own[::-1]
 
-    def v_bytes(char: str) -> list[int]:
-        return [v.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
-
     for i in range(n):
         so_far = best.pop(i)
-        if text[i] not in pieces:
-            if best.get(i + 1, -np.inf) < so_far + unknown:
-                best[i + 1], back[i + 1] = so_far + unknown, (i, -1)
+        if text[i] not in pieces and best.get(i + 1, -np.inf) < so_far + unknown:
+            best[i + 1], back[i + 1] = so_far + unknown, (i, -1)
         for j in range(i + 1, min(n, i + longest) + 1):
-            piece = text[i:j]
-            if piece not in starts:
+            known = find(text[i:j], 0)
+            if known == 0:
                 break
-            known = pieces.get(piece)
             if known and best.get(j, -np.inf) < so_far + known[1]:
                 best[j], back[j] = so_far + known[1], (i, known[0])
         if (i + 1) % every == 0 and i + 1 < n:
@@ -121,20 +147,26 @@ def stream(text: str, v: Vocabulary, every: int | None = None) -> Iterator[int]:
 
 
 class Encoder(dict):
-    """Packed ids by word; words not yet met are searched."""
+    """Packed ids by word; words not met lately are searched."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
         self.v = v
+        self.before: dict[str, bytes] = {}
         self.words = re.compile(f"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if v.words_stand_alone() else r"[\s\S]+")
-        self.mark = np.array([v.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
+        self.mark = array("i", [v.byte_ids[b] for b in SPACE.encode()]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.fromiter(stream(word, self.v), np.int32).tobytes()
-        if len(word) <= MEMORY_CHARS:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[word] = packed
+        packed = self.before.get(word)
+        if packed is None:
+            short = len(word) <= MEMORY_CHARS
+            packed = array("i", search(word, self.v) if short else stream(word, self.v)).tobytes()
+            if not short:
+                return packed
+        if len(self) >= MEMORY:
+            self.before = dict(self)
+            self.clear()
+        self[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -145,6 +177,16 @@ class Encoder(dict):
         return self.mark.join(b"".join(map(self.__getitem__, self.words.findall(p.replace(" ", SPACE)))) for p in parts)
 
 
+#: The encoder of this worker, kept from task to task.
+_encoder: list[Encoder] = []
+
+
+def encoder_of(v: Vocabulary) -> Encoder:
+    if not _encoder or _encoder[0].v.digest != v.digest:
+        _encoder[:] = [Encoder(v)]
+    return _encoder[0]
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of ids: their bytes joined, without the space put before the text."""
     data = b"".join(map(v.spelling.__getitem__, ids.tolist()))
@@ -161,7 +203,7 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        encoder = Encoder(v)
+        encoder = encoder_of(v)
         for batch in batches:
             packed, texts, size, start = [], [], 0, 0
             for k, value in enumerate(batch.column("text")):
