@@ -60,8 +60,10 @@ def _neighbours(array: Column) -> Column:
 def with_repeats(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words in windows that occur at least twice in the document, each word counted once."""
     last = F.col("n_words") - WINDOW
+    # Element by element: slice() in a lambda would copy the whole array for each position.
     windows = F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))))
+        last >= 1,
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("words", i.cast("int") + k) for k in range(WINDOW)])),
     )
     df = df.withColumn("windows", windows)
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
