@@ -28,17 +28,20 @@ SAMPLE_CHARS = 16_000
 #: Languages beyond this number are refused, as their automata are held in memory.
 MAX_LANGUAGES = 200
 BLOCK = 512
+#: Entries of a language's table of steps up to which it is kept whole; a larger one, as of a script of many letters, is kept sparse.
+DENSE = 1 << 23
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 
 
 @dataclass(frozen=True)
 class Automata:
-    """alphabet: letters in order, from symbol 2; steps: per language twice the next row's start, odd if a phrase ends."""
+    """alphabet: letters of all languages in order, from symbol 2; own: per language its own symbol for each of these."""
 
     languages: list[str]
     alphabet: str
-    steps: list[np.ndarray]
+    own: list[np.ndarray]
+    steps: list[Steps]
     bits: list[float]
 
     @property
@@ -46,6 +49,32 @@ class Automata:
         return len(self.alphabet) + 3  # space, other letters, the alphabet, padding
 
 
+@dataclass(frozen=True)
+class Steps:
+    """Steps of one automaton: for (row start + symbol) twice the next row's start, odd if a phrase ends.
+
+    Without keys, `to` is the whole table. With them, `to` has the steps that `keys` lists in order, and all others are
+    those of `first`, by symbol; padding, the last symbol, changes nothing.
+    """
+
+    width: int
+    rows: int
+    to: np.ndarray
+    keys: np.ndarray | None = None
+    first: np.ndarray | None = None
+
+    def take(self, state: np.ndarray, column: np.ndarray, at: np.ndarray) -> None:
+        """Puts the step of each state by its symbol in its place; `at` is room for as many."""
+        np.right_shift(state, 1, out=at)
+        np.add(at, column, out=at)
+        if self.keys is None:
+            np.take(self.to, at, out=state, mode="clip")
+            return
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        following = np.where(self.keys[place] == at, self.to[place], self.first[column])
+        np.copyto(state, np.where(column == self.width - 1, state & ~1, following))
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that accepts all substrings; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -76,7 +105,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(moves: list[dict[int, int]], width: int) -> np.ndarray:
+def parse_table(moves: list[dict[int, int]], width: int) -> Steps:
     """For (state, symbol) twice the start of the next state's row, plus 1 if a phrase ends before the symbol.
 
     Where no match goes on, the symbol begins the next phrase; one that never occurs is a phrase by itself and leads to an
@@ -86,12 +115,16 @@ def parse_table(moves: list[dict[int, int]], width: int) -> np.ndarray:
     first = np.full(width, lost * width * 2 + 1, np.int64)
     for c, to in moves[0].items():
         first[c] = to * width * 2 + 1
+    if (lost + 1) * width > DENSE:
+        known = sorted((state * width + c, to * width * 2) for state, own in enumerate(moves) for c, to in own.items())
+        keys, to = np.array(known, np.int64).reshape(-1, 2).T.copy()
+        return Steps(width, lost + 1, to, keys, first)
     steps = np.tile(first, (lost + 1, 1))
     for state, own in enumerate(moves):
         for c, to in own.items():
             steps[state, c] = to * width * 2
     steps[:, width - 1] = np.arange(lost + 1) * width * 2
-    return steps.astype(np.int32).ravel()
+    return Steps(width, lost + 1, steps.astype(np.int32).ravel())
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +160,15 @@ def _kept(space: np.ndarray) -> np.ndarray:
 
 
 def build(samples: dict[str, str]) -> Automata:
-    """samples: normalised labelled text by language."""
+    """samples: normalised labelled text by language. Letters that a language's text lacks are one symbol in its automaton."""
     languages = sorted(samples)
-    alphabet = "".join(sorted(set("".join(samples.values())) - {" "}))[:250]
-    symbol = {" ": _SPACE, **{c: k + 2 for k, c in enumerate(alphabet)}}
-    width = len(alphabet) + 3
-    steps = [parse_table(suffix_automaton([symbol.get(c, _OTHER) for c in samples[x]]), width) for x in languages]
-    return Automata(languages, alphabet, steps, [float(np.log2(max(2, len(samples[x])))) for x in languages])
+    alphabet = "".join(sorted(set().union(*samples.values()) - {" "}))
+    own, steps = [], []
+    for x in languages:
+        symbol = {" ": _SPACE, **{c: k + 2 for k, c in enumerate(sorted(set(samples[x]) - {" "}))}}
+        own.append(np.array([_SPACE, _OTHER, *(symbol.get(c, _OTHER) for c in alphabet), len(symbol) + 1], np.int32))
+        steps.append(parse_table(suffix_automaton([symbol[c] for c in samples[x]]), len(symbol) + 2))
+    return Automata(languages, alphabet, own, steps, [float(np.log2(max(2, len(samples[x])))) for x in languages])
 
 
 def learn(docs: DataFrame) -> Automata:
@@ -155,7 +190,7 @@ def learn(docs: DataFrame) -> Automata:
 def phrases(texts: list[str | None], automata: Automata) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases by text and language, normalised characters and letters of each text."""
     width, is_letter, lower = automata.width, *_letters()
-    symbols = np.zeros(0x110000, np.uint8)
+    symbols = np.zeros(0x110000, np.int32)
     symbols[is_letter] = _OTHER
     symbols[[ord(c) for c in automata.alphabet]] = np.arange(2, width - 1)
     symbols = symbols[lower] * is_letter
@@ -169,22 +204,21 @@ def phrases(texts: list[str | None], automata: Automata) -> tuple[np.ndarray, np
             sizes[k], letters[k] = len(own), np.count_nonzero(own)
             n = -(-len(own) // BLOCK)
             if letters[k]:
-                full = np.full(n * BLOCK, width - 1, np.uint8)
+                full = np.full(n * BLOCK, width - 1, np.int32)
                 full[: len(own)] = own
                 blocks.append(full.reshape(n, BLOCK))
                 owners.append(np.full(n, k))
         if not blocks:
             continue
         owner = np.concatenate(owners)
-        columns = np.ascontiguousarray(np.concatenate(blocks).T).astype(np.int32)
+        columns = np.ascontiguousarray(np.concatenate(blocks).T)
         for x, steps in enumerate(automata.steps):
+            kind = steps.to.dtype
             # From the last state every symbol begins a phrase.
-            state = np.full(len(owner), 2 * (len(steps) - width), np.int32)
-            at, flag, begun = (np.zeros(len(owner), np.int32) for _ in range(3))
+            state = np.full(len(owner), 2 * (steps.rows - 1) * steps.width, kind)
+            at, flag, begun = (np.zeros(len(owner), kind) for _ in range(3))
             for column in columns:
-                np.right_shift(state, 1, out=at)
-                np.add(at, column, out=at)
-                np.take(steps, at, out=state, mode="clip")
+                steps.take(state, automata.own[x][column], at)
                 np.bitwise_and(state, 1, out=flag)
                 np.add(begun, flag, out=begun)
             counts[:, x] += np.bincount(owner, begun, len(texts)).astype(np.int64)

@@ -218,6 +218,22 @@ def test_phrases_equal_a_plain_parse():
             assert counts[k].tolist() == [_phrases(own, samples[x]) for x in automata.languages], text
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 23])
+def test_languages_of_many_letters_are_told_apart(monkeypatch, dense):
+    monkeypatch.setattr(op7_language, "DENSE", dense)
+    rng = random.Random(8)
+    scripts = {"en": range(0x61, 0x7B), "ja": range(0x4E00, 0x5200), "ko": range(0xAC00, 0xB200), "zh": range(0x5000, 0x5800)}
+    lexicon = {x: ["".join(chr(rng.choice(own)) for _ in range(rng.randint(2, 5))) for _ in range(300)] for x, own in scripts.items()}
+    prose = {x: [" ".join(rng.choices(own, k=n)) for n in (1200, 8, 40)] for x, own in lexicon.items()}
+    samples = {x: op7_language.normalised(own[0]) for x, own in prose.items()}
+    automata = op7_language.build(samples)
+    texts = [text for x in automata.languages for text in prose[x][1:]] + ["日本 mixed 中文 𐍈 z"]
+    assert op7_language.judged(texts, automata)[0][:-1] == [x for x in automata.languages for _ in range(2)]
+    counts = op7_language.phrases(texts, automata)[0]
+    for k, text in enumerate(texts):
+        assert counts[k].tolist() == [_phrases(op7_language.normalised(text), samples[x]) for x in automata.languages]
+
+
 def test_language_of_held_out_rows(spark, testdata):
     directory = f"{testdata}/sf0.01"
     lang = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "lang")
