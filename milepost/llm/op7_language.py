@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from milepost.llm import vectors
 from milepost.llm.common import held_out, table
 
-#: Most labelled documents of each language that are sent to the driver, and the characters of each document length allowed.
+#: Labelled documents of each language that are sent to the driver, and the length in characters of those that go first.
 SAMPLE_DOCS, SAMPLE_MIN, SAMPLE_MAX = 60, 100, 4000
 #: Characters of labelled text that the automaton of a language is built on.
 SAMPLE_CHARS = 16_000
@@ -171,19 +171,51 @@ def build(samples: dict[str, str]) -> Automata:
     return Automata(languages, alphabet, own, steps, [float(np.log2(max(2, len(samples[x])))) for x in languages])
 
 
-def learn(docs: DataFrame) -> Automata:
-    """Automata of the languages in column lang, from up to SAMPLE_DOCS documents of smallest hash for each of them."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """lang, fits, hash and text of the rows that can be learnt from; a text that does not fit is cut from its first letter on."""
     known = docs.select("doc_id", "lang", "text").where(
-        F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.length("text").between(SAMPLE_MIN, SAMPLE_MAX)
+        F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
+    )
+    fits = F.length("text").between(SAMPLE_MIN, SAMPLE_MAX)
+    part = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_MAX - 1}}}", 0)
+    return known.select(
+        "lang", fits.alias("fits"), F.xxhash64("doc_id", "text").alias("hash"), F.when(fits, F.col("text")).otherwise(part).alias("text")
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    rows = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
-    found = rows.select("lang", "rank", "text").limit(SAMPLE_DOCS * MAX_LANGUAGES + 1).collect()
-    if len({r["lang"] for r in found}) > MAX_LANGUAGES:
+
+
+def sample_sizes(known: DataFrame) -> dict[str, int]:
+    """How many documents of each language are taken: SAMPLE_DOCS, or, with fewer that fit, four, 16 and so on times as many.
+
+    The rest is then likely to give SAMPLE_CHARS characters, if there are as many.
+    """
+    facts = known.groupBy("lang").agg(F.count_if("fits").alias("n"), F.avg(F.when(~F.col("fits"), F.length("text"))).alias("chars"))
+    found = facts.limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {}
+    for r in found:
+        size = SAMPLE_DOCS
+        while r["n"] < SAMPLE_DOCS and r["chars"] and size * r["chars"] < 2 * SAMPLE_CHARS:
+            size *= 4
+        sizes[r["lang"]] = size
+    return sizes
+
+
+def learn(docs: DataFrame) -> Automata:
+    """Automata of the languages in column lang, from documents of smallest hash for each of them.
+
+    Documents of SAMPLE_MIN to SAMPLE_MAX characters go first; a language with fewer than SAMPLE_DOCS of them is filled up
+    with shorter ones and the first SAMPLE_MAX characters of longer ones.
+    """
+    known = labelled(docs)
+    sizes = sample_sizes(known)
+    order = Window.partitionBy("lang").orderBy(F.desc("fits"), "hash")
     samples: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["rank"])):
-        samples.setdefault(r["lang"], []).append(normalised(r["text"]))
+    for size in sorted(set(sizes.values())):
+        own = known.where(F.col("lang").isin([lang for lang, n in sizes.items() if n == size]))
+        rows = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+        for r in sorted(rows.select("lang", "rank", "text").collect(), key=lambda r: (r["lang"], r["rank"])):
+            samples.setdefault(r["lang"], []).append(normalised(r["text"]))
     return build({lang: x for lang, own in samples.items() if (x := " ".join(own)[:SAMPLE_CHARS]).strip()})
 
 

@@ -234,6 +234,21 @@ def test_languages_of_many_letters_are_told_apart(monkeypatch, dense):
         assert counts[k].tolist() == [_phrases(op7_language.normalised(text), samples[x]) for x in automata.languages]
 
 
+def test_languages_of_short_or_long_texts_are_learnt(spark):
+    rng = random.Random(9)
+    lexicon = {x: ["".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(80)] for x, own in (("book", "abcdef"), ("title", "defghi"), ("usual", "ghijkl"))}
+    words = {"book": 2000, "title": 4, "usual": 60}
+    rows = [(k, x, "... " + " ".join(rng.choices(lexicon[x], k=words[x]))) for k, x in enumerate(["book"] * 8 + ["title"] * 1500 + ["usual"] * 100)]
+    rows += [(5000 + k, "title", "12 345") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert op7_language.sample_sizes(op7_language.labelled(docs)) == {"book": 60, "title": 3840, "usual": 60}
+    automata = op7_language.learn(docs)
+    assert automata.languages == ["book", "title", "usual"]
+    assert min(automata.bits) > 13  # each has learnt from over 8,192 characters
+    texts = [" ".join(rng.choices(lexicon[x], k=10)) for x in automata.languages]
+    assert op7_language.judged(texts, automata)[0] == automata.languages
+
+
 def test_language_of_held_out_rows(spark, testdata):
     directory = f"{testdata}/sf0.01"
     lang = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "lang")
