@@ -5,6 +5,9 @@ still shares seeds with the original. Seeds of all documents meet those of the b
 alignment of an item with a document, which is verified word by word: the best stretch, +1 for an equal word and -PENALTY for
 another, must reach a score. All of it is DataFrame expressions; words are compared as 64-bit hashes.
 
+An item shorter than the masks has one seed, of all its words; documents get seeds of as many words only for the lengths
+that such items have.
+
 The benchmark's seeds are broadcast while they are few, which is counted; otherwise the join shuffles both sides.
 """
 
@@ -31,24 +34,47 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(words: str) -> Column:
-    """Hashes of all seeds of an array column: those of the first mask by position, then of the second, and so on."""
-    n = F.size(words) - SPAN + 1
+def _seeds_of(words: str, mask: str) -> Column:
+    """Hashes of the words under the mask on each of its places; there must be one."""
+    # Element by element: slice() in a lambda would copy the whole array for each position.
+    used = [k for k, c in enumerate(mask) if c == "1"]
+    places = F.sequence(F.lit(0), F.size(words) - len(mask))
+    return F.transform(places, lambda i: F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in used]))
+
+
+def seeds(words: str, short: list[int]) -> Column:
+    """Hashes of all seeds of an array column: those of the first mask by position, then of the second, and so on.
+
+    Those of all words in a run follow, for each length in `short`.
+    """
+    long = F.when(F.size(words) >= SPAN, F.concat(*[_seeds_of(words, mask) for mask in MASKS]))
+    if not short:
+        return long
+    none = F.array().cast("array<bigint>")
+    whole = [F.when(F.size(words) >= n, _seeds_of(words, "1" * n)).otherwise(none) for n in short]
+    return F.concat(F.coalesce(long, none), *whole)
 
-    def of(mask: str) -> Column:
-        # Element by element: slice() in a lambda would copy the whole array for each position.
-        used = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in used]))
 
-    return F.when(n > 0, F.concat(*[of(mask) for mask in MASKS]))
+def short_lengths(items: DataFrame) -> list[int]:
+    """The numbers of words, in order, of items that are shorter than the masks."""
+    found = items.select(F.size("words").alias("n")).where(F.col("n").between(1, SPAN - 1)).distinct().collect()
+    return sorted(r["n"] for r in found)
 
 
-def _exploded(df: DataFrame) -> DataFrame:
+def _exploded(df: DataFrame, short: list[int]) -> DataFrame:
     """One row a seed: the frame's columns, `seed` and `at`, the 0-based position of its first word."""
-    rows = df.withColumn("seeds", seeds("words"))
+    rows = df.withColumn("seeds", seeds("words", short))
     # The outer form, as for the inner one Spark would test the array's size on the scan, where it is computed anew.
     rows = rows.select(*df.columns, F.posexplode_outer("seeds").alias("k", "seed")).where("seed IS NOT NULL")
-    return rows.withColumn("at", F.expr(f"k % (size(words) - {SPAN - 1})")).drop("k")
+    if not short:
+        return rows.withColumn("at", F.expr(f"k % (size(words) - {SPAN - 1})")).drop("k")
+    places = F.greatest(F.size("words") - (SPAN - 1), F.lit(0))
+    ahead = len(MASKS) * places
+    at = F.when(F.col("k") < ahead, F.col("k") % F.greatest(places, F.lit(1)))
+    for n in short:
+        places = F.greatest(F.size("words") - (n - 1), F.lit(0))
+        at, ahead = at.when(F.col("k") < ahead + places, F.col("k") - ahead), ahead + places
+    return rows.withColumn("at", at).drop("k")
 
 
 def beside(words: str, shift: Column, size: Column) -> Column:
@@ -76,13 +102,18 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs: doc_id, key and words; items: item_id and words.
     """
     places = ["doc_id", "key", "item_id", "shift"]
-    known = _exploded(items).select("item_id", F.size("words").alias("n"), "seed", F.col("at").alias("item_at"))
+    short = short_lengths(items)
+    # A short item has one seed, of all its words, and not those of shorter items.
+    known = _exploded(items.where(F.size("words") >= SPAN), [])
+    for n in short:
+        known = known.union(_exploded(items.where(F.size("words") == n), [n]))
+    known = known.select("item_id", F.size("words").alias("n"), "seed", F.col("at").alias("item_at"))
     window = beside("words", F.col("shift"), F.col("n"))
     if known.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        hits = _exploded(docs).join(F.broadcast(known), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+        hits = _exploded(docs, short).join(F.broadcast(known), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
         # As an aggregate, the window keeps the scoring out of the join, which would not be compiled with it.
         return hits.groupBy(*places).agg(F.max(window).alias("window"))
-    slim = _exploded(docs).select("doc_id", "key", "seed", "at")
+    slim = _exploded(docs, short).select("doc_id", "key", "seed", "at")
     hits = slim.join(known, "seed").withColumn("shift", F.col("at") - F.col("item_at")).select(*places, "n").distinct()
     texts = docs.select("key", "words").dropDuplicates(["key"])
     return hits.join(texts, "key").select(*places, window.alias("window"))
@@ -91,9 +122,9 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, shift (word of the document on which the item's first one lies) of each contaminated pair.
 
-    A pair has one row, with its best score and, of several such places, the first. Items or documents with fewer than
-    SPAN words, empty or null texts have no seeds and take part in no pair. Rows alike in doc_id and text are one document.
-    Only doc_id, item_id and the texts are read.
+    A pair has one row, with its best score and, of several such places, the first. Items of fewer than SPAN words are
+    found where all their words stand in a row; longer ones in documents of SPAN words or more. Empty or null texts take part
+    in no pair. Rows alike in doc_id and text are one document. Only doc_id, item_id and the texts are read.
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     items = items.select("item_id", word_hashes(F.col("item_text")).alias("words"))

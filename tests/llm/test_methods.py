@@ -194,6 +194,20 @@ def test_exchanged_words_do_not_hide_an_item(spark, monkeypatch, broadcast):
     assert sorted((r["doc_id"], r["item_id"], r["score"], r["shift"]) for r in found) == [(0, 7, 30, 1), (1, 7, 18, 3)]
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_short_items_are_found_whole(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(op6_spaced_seeds, "BROADCAST_SEEDS", broadcast)
+    nine, long = [f"n{k}" for k in range(9)], [f"L{k}" for k in range(20)]
+    items = [(1, "Paris"), (2, "who wrote it?"), (3, " ".join(nine)), (4, " ".join(long)), (5, "什么是水，水从哪里来。"), (6, "?!"), (7, None)]
+    texts = ["so who wrote it", "Who, wrote: IT", "x " * 30 + " ".join(long + nine) + " y", "who wrote that", " ".join(nine[:8]), "paris", "答：什么是水，水从哪里来？", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = op6_spaced_seeds.overlaps(docs, benchmark).collect()
+    pairs = sorted((r["doc_id"], r["item_id"], r["score"], r["shift"]) for r in found)
+    assert pairs == [(0, 2, 3, 1), (1, 2, 3, 0), (2, 3, 9, 50), (2, 4, 20, 30), (5, 1, 1, 0), (6, 5, 2, 1)]
+    assert sorted(r["doc_id"] for r in op6_spaced_seeds.decontaminate(docs, benchmark).collect()) == [3, 4, 7, 8]
+
+
 def _phrases(text: str, sample: str) -> int:
     count = at = 0
     while at < len(text):
