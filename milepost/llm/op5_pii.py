@@ -2,9 +2,10 @@
 
 Four fixed patterns find e-mail and IP addresses, card and phone numbers. These are the seeds. The words before a seed form
 lexical patterns, and other strings of a similar shape are candidates. Patterns and strings form a graph, scored in rounds on
-Spark: a pattern's precision for a kind is the share of trusted strings among all strings of fitting shape that it precedes,
-its selectivity is how often its last word precedes such strings at all in their documents. High-confidence patterns make
-candidates trusted, which may raise further patterns. All occurrences of a trusted candidate are added as spans.
+Spark: a pattern's precision for a kind is the share of strings trusted for it among those of fitting shape that it precedes,
+where a string of no known kind counts little; its selectivity is how often its last word precedes such strings at all in
+their documents. High-confidence patterns make candidates trusted, which may raise further patterns, until no new string is
+trusted. All occurrences of a trusted candidate are added as spans.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from milepost.llm.common import stored, table
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs as many different trusted strings, and at least this precision and selectivity.
 MIN_SUPPORT, MIN_PRECISION, MIN_SELECTIVITY = 3, 0.7, 0.5
-ROUNDS = 3
+#: What a string of no known kind counts against a pattern, beside 1 for one that is trusted for another kind only.
+UNKNOWN = 0.1
 #: Characters before a string in which the words of its patterns are looked for.
 REACH = 60
 
@@ -173,14 +175,17 @@ def patterns(edges: DataFrame, trusted: DataFrame, selective: DataFrame) -> Data
     """High-confidence patterns: pattern, kind, precision. edges: distinct (pattern, value, shapes)."""
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("kind")
     fitting = edges.select("pattern", "value", "shapes", kinds).where("(shapes & shiftleft(1, kind)) <> 0")
-    marked = fitting.join(trusted.withColumn("is_trusted", F.lit(1)), ["value", "kind"], "left")
-    scores = marked.groupBy("pattern", "kind").agg(F.sum("is_trusted").alias("support"), F.count("*").alias("total"))
-    scores = scores.withColumn("precision", F.col("support") / F.col("total"))
+    known = trusted.groupBy("value").agg(F.collect_set("kind").alias("own"))
+    marked = fitting.join(known, "value", "left")
+    right = F.coalesce(F.array_contains("own", F.col("kind")), F.lit(False))
+    against = F.when(F.col("own").isNull(), UNKNOWN).when(right, 0.0).otherwise(1.0)
+    scores = marked.groupBy("pattern", "kind").agg(F.count_if(right).alias("support"), F.sum(against).alias("against"))
+    scores = scores.withColumn("precision", F.col("support") / (F.col("support") + F.col("against")))
     good = scores.where((F.col("support") >= MIN_SUPPORT) & (F.col("precision") >= MIN_PRECISION))
     return good.join(selective, "pattern").select("pattern", "kind", "precision")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(scanned: DataFrame) -> DataFrame:
     """value and kind of the candidates that become trusted; scanned is what scan() returns, stored."""
     rows = scanned.select("key", F.explode("found").alias("o")).select("key", "o.*")
     texts = F.explode(F.array(F.concat(F.lit("1 "), "one"), F.concat(F.lit("2 "), "two")))
@@ -192,23 +197,27 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     seeds = stored(rows.where("kind >= 0").select("value", "kind").distinct(), "seeds")
     unseen = rows.where("kind < 0").select("value").distinct()
     trusted = seeds
-    for _ in range(rounds):
+    while True:
         good = patterns(edges, trusted, selective)
         hits = edges.join(good, "pattern").where("(shapes & shiftleft(1, kind)) <> 0")
         scores = hits.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("precision"))))).alias("score"))
-        new = scores.where(F.col("score") >= MIN_PRECISION).join(unseen, "value", "left_semi")
-        trusted = stored(seeds.union(new.select("value", "kind")).distinct(), "trusted")
+        new = scores.where(F.col("score") >= MIN_PRECISION).join(unseen, "value", "left_semi").select("value", "kind")
+        new = stored(new.join(trusted, ["value", "kind"], "left_anti"), "new")
+        # Strings stay trusted, so the rounds come to an end.
+        if not new.limit(1).count():
+            break
+        trusted = stored(trusted.union(new), "trusted")
     # A candidate that two kinds claim is of the first.
     return trusted.join(unseen, "value", "left_semi").groupBy("value").agg(F.min("kind").alias("kind"))
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, key, counts and digest of the base spans, and `spans` (kind, start, end), all sorted.
 
     A null text is empty and has no spans; rows alike in doc_id and text get the same spans. Other columns are not read.
     """
     scanned = stored(scan(docs), "pii")
-    new = bootstrap(scanned, rounds).select(F.col("value").alias("_value"), F.col("kind").alias("_kind"))
+    new = bootstrap(scanned).select(F.col("value").alias("_value"), F.col("kind").alias("_kind"))
     extra = scanned.select("key", F.explode("found").alias("o")).where("o.kind < 0").join(new, F.col("o.value") == F.col("_value"))
     extra = extra.groupBy(F.col("key").alias("_key")).agg(
         F.collect_set(F.struct(F.col("_kind").alias("kind"), F.col("o.start").alias("start"), F.col("o.end").alias("end"))).alias("extra")
@@ -231,9 +240,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """`docs` with its columns, personal data in `text` replaced; n_chars, where there is one, is brought up to date."""
-    spans = find(docs, rounds).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    spans = find(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     spans = spans.groupBy("_key").agg(F.first("_spans").alias("_spans"))
     joined = docs.withColumn("_key2", F.xxhash64("doc_id", "text")).join(spans, F.col("_key2") == F.col("_key"), "left")
 

@@ -172,6 +172,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[20] == "Reach desk phone [phone] now" and "555" not in clean[3] and clean[21] == rows[9][1]
 
 
+def test_contexts_reach_many_unseen_identifiers_and_on_from_them(spark):
+    contexts = ["alpha", "bravo", "carol", "delta", "eagle", "fancy"]
+    rows = [f"Reach alpha +1 (202) 555-{1000 + k} now" for k in range(8)]
+    rows += [f"Some alpha 555 0100 {k} now" for k in range(10, 14)]
+    # Each context shares three unseen numbers with the next one, so the last is reached in the sixth round.
+    for n, (one, two) in enumerate(zip(contexts, contexts[1:], strict=False)):
+        rows += [f"Some {word} 555 {200 + n} 10{k} now" for k in range(3) for word in (one, two)]
+    rows += ["Some fancy 555 0900 77 now", "The total of 555 0199 78 apples"]
+    # Servers' addresses are of a known kind, so they do count against the context of three numbers.
+    rows += [f"Item zebra +1 (303) 555-{1000 + k} now" for k in range(3)] + [f"Item zebra 10.100.100.{100 + k} now" for k in range(9)]
+    rows += ["Item zebra 555 0300 88 now"]
+    found = op5_pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [rows[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in found}
+    assert {k for k, own in spans.items() if not own} == {rows.index("The total of 555 0199 78 apples"), rows.index("Item zebra 555 0300 88 now")}
+    assert spans[rows.index("Some fancy 555 0900 77 now")] == ["555 0900 77"]
+
+
 def test_personal_data_digest(spark, testdata, documents):
     texts = dict(documents)
     for r in all_queries()["op5_pii"](spark, f"{testdata}/{SCALE}").collect():
