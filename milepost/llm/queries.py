@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op6_spaced_seeds, op7_language, op8_quality, op9_suffix_dedup, op10_sentence_spans
+from milepost.llm import (
+    op1_reshard,
+    op2_toxicity,
+    op3_sentencepiece,
+    op4_setsketch,
+    op5_pii,
+    op6_spaced_seeds,
+    op7_language,
+    op8_quality,
+    op9_suffix_dedup,
+    op10_sentence_spans,
+    op11_lexical_scan,
+    op12_norm_buckets,
+    op13_prefix_trie,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +37,9 @@ def all_queries() -> dict[str, Query]:
         "op8_quality": op8_quality.op8_quality,
         "op9_suffix_dedup": op9_suffix_dedup.op9_suffix_dedup,
         "op10_sentence_spans": op10_sentence_spans.op10_sentence_spans,
+        "op11_lexical_scan": op11_lexical_scan.op11_lexical_scan,
+        "op12_norm_buckets": op12_norm_buckets.op12_norm_buckets,
+        "op13_prefix_trie": op13_prefix_trie.op13_prefix_trie,
     }
 
 
@@ -31,4 +48,7 @@ def all_sql() -> dict[str, str]:
         "op6_spaced_seeds": op6_spaced_seeds.SQL,
         "op8_quality": op8_quality.SQL,
         "op10_sentence_spans": op10_sentence_spans.SQL,
+        "op11_lexical_scan": op11_lexical_scan.SQL,
+        "op12_norm_buckets": op12_norm_buckets.SQL,
+        "op13_prefix_trie": op13_prefix_trie.SQL,
     }
