@@ -16,7 +16,7 @@ from milepost.operators import paths
 from milepost.operators.cohort import cohort, cohort_profiles, new_profiles, primary_addresses
 from milepost.operators.stages import PROFILE_CREATED, union_stages
 from milepost.plans import account, balance, card
-from milepost.plans.conversion import conversion, event_counts, percent_of_base, profile_base
+from milepost.plans.conversion import conversion, event_counts, of_event, percent_of_base, profile_base
 from milepost.sinks.publish import publish_replace, publish_staged_swap
 from milepost.sources import Sources
 from milepost.sources.star_adapter import START_DATE, star_sources
@@ -237,7 +237,18 @@ def _funnels() -> dict[str, Build]:
     }
 
 
-def _publish(key: str, write: Callable[[DataFrame, str, str], DataFrame], build: Build, then: Callable | None = None) -> Query:
+Write = Callable[[DataFrame, str, str], DataFrame]
+
+
+def _replaced(df: DataFrame, schema: str, name: str) -> DataFrame:
+    return publish_replace(df, schema, name, keep=0)
+
+
+def _replaced_by_event(df: DataFrame, schema: str, name: str) -> DataFrame:
+    return publish_replace(df, schema, name, partition_by=["event"], keep=0)
+
+
+def _publish(key: str, write: Write, build: Build, then: Callable | None = None) -> Query:
     """Publishes a funnel and returns the table read back, or what `then` makes of it. One table for each key and folder,
     which the next call replaces."""
 
@@ -252,11 +263,15 @@ def _publish(key: str, write: Callable[[DataFrame, str, str], DataFrame], build:
 def _sinks() -> dict[str, Query]:
     built = _funnels()
     return {
-        "publish_replace": _publish("account", publish_replace, built["account_funnel"]),
-        "publish_balance_funnel": _publish("balance", publish_replace, built["balance_funnel"]),
+        "publish_replace": _publish("account", _replaced, built["account_funnel"]),
+        "publish_balance_funnel": _publish("balance", _replaced, built["balance_funnel"]),
         "publish_staged_swap": _publish("card", publish_staged_swap, built["card_funnel"]),
-        "published_account_conversion": _publish("account_report", publish_replace, built["account_funnel"], conversion),
+        "published_account_conversion": _publish("account_report", _replaced_by_event, built["account_funnel"], conversion),
         "published_card_conversion": _publish("card_report", publish_staged_swap, built["card_funnel"], conversion),
+        "published_profile_base": _publish("account_base", _replaced_by_event, built["account_funnel"], profile_base),
+        "published_stage": _publish(
+            "account_stage", _replaced_by_event, built["account_funnel"], lambda t: of_event(t, "6. BANK DETAILS ISSUED")
+        ),
     }
 
 

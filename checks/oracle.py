@@ -346,6 +346,10 @@ def _bodies() -> dict[str, str]:
         "published_account_conversion": report,
         "published_card_conversion": _report(card),
         "publish_staged_swap": card,
+        "published_profile_base": f"""
+            SELECT '1. PROFILE_CREATED' AS event, count(event_id) AS event_count
+            FROM ({account}) WHERE event = '1. PROFILE_CREATED'""",
+        "published_stage": ACCOUNT["account_6_bank_details_issued"],
     }
 
 

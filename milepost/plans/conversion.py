@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from milepost.operators.stages import PROFILE_CREATED
 
 
+def of_event(funnel: DataFrame, event: str) -> DataFrame:
+    """The rows of one stage. Of a table published by event, only that event's files are read."""
+    return funnel.where(F.col("event") == event)
+
+
 def event_counts(funnel: DataFrame) -> DataFrame:
     """Non-null event ids per event."""
     return funnel.groupBy("event").agg(F.count("event_id").alias("event_count"))
@@ -16,7 +21,7 @@ def event_counts(funnel: DataFrame) -> DataFrame:
 def profile_base(funnel: DataFrame) -> DataFrame:
     """Non-null event ids of the first step. Any rows with those of the first step will do: a funnel, or that stage alone."""
     return (
-        funnel.where(F.col("event") == PROFILE_CREATED)
+        of_event(funnel, PROFILE_CREATED)
         .agg(F.count("event_id").alias("event_count"))
         .select(F.lit(PROFILE_CREATED).alias("event"), "event_count")
     )
