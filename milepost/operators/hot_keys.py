@@ -1,4 +1,4 @@
-"""Equi-join of a large table with a table keyed by the join column, safe for hot keys."""
+"""Equi-joins of a large table with a table keyed by the join column, safe for hot keys."""
 
 from __future__ import annotations
 
@@ -60,7 +60,19 @@ def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> DataFram
     )
 
 
-def join_many_to_one(many: DataFrame, one: DataFrame, key: str, row_id: str) -> DataFrame:
+def join_split(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` that adaptive execution can split where ``many`` holds a large share of its rows under one key.
+
+    Spark splits a skewed partition only if both sides are shuffled for the join. Where ``one`` already sits on the key it
+    would stay as it is, so the join is on the key and a hash of it, which neither side is laid out by. Each table is read
+    once; the price is one more shuffle of ``one``. How large a partition must be to be split are Spark's settings, and
+    without adaptive execution none is: ``join_many_to_one`` does not depend on it, and finds hot keys by a second pass.
+    """
+    mark = F.xxhash64(key)
+    return many.withColumn("_mark", mark).join(one.withColumn("_mark", mark), [key, "_mark"]).drop("_mark")
+
+
+def join_many_to_one(many: DataFrame, one: DataFrame, key: str, row_id: str, unmatched: bool = False) -> DataFrame:
     """Inner join on ``key`` where ``many`` may hold a large share of its rows under one key.
 
     The rows of a hot key are dealt over several parts by ``row_id``, a column
@@ -71,9 +83,9 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str, row_id: str) ->
     them is left to Spark's own skew splitting, which applies to this join.
     Finding the hot keys costs a second pass over the key column of ``many``.
 
-    Meant for joins on a key that ``one`` was already joined on. There Spark
-    keeps the partitioning and does not split skewed partitions by itself;
-    where both sides are shuffled for the join, a plain join is enough.
+    With ``unmatched``, rows of ``one`` that no row of ``many`` matches stay,
+    with nulls. Adaptive execution cannot split that side of an outer join. A
+    hot key has matches for certain, so of its copies only matched ones count.
     """
     hot = F.broadcast(hot_keys(many, key))
     part = F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int")
@@ -84,5 +96,8 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str, row_id: str) ->
         .drop("parts")
     )
     parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-    copied = one.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("parts")
-    return dealt.join(copied, [key, "_part"]).drop("_part")
+    copied = one.join(hot, key, "left").withColumn("_part", F.explode(parts))
+    if not unmatched:
+        return dealt.join(copied.drop("parts"), [key, "_part"]).drop("_part")
+    joined = copied.join(dealt.withColumn("_met", F.lit(True)), [key, "_part"], "left")
+    return joined.where(F.col("_met") | F.col("parts").isNull()).drop("_part", "_met", "parts")

@@ -1,4 +1,7 @@
-"""Joins from the cohort to each fact table."""
+"""Joins from the cohort to each fact table.
+
+Where the cohort's keys are few they can be given, and facts of others are left out where they are read.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,8 @@ from pyspark.sql import functions as F
 
 from milepost.config import FunnelConfig
 from milepost.functions.predicates import successful_balance_action
-from milepost.operators.cohort import cohort
-from milepost.operators.hot_keys import join_many_to_one
+from milepost.operators.cohort import cohort, of_keys
+from milepost.operators.hot_keys import join_many_to_one, join_split
 from milepost.sources import Sources
 
 
@@ -35,50 +38,46 @@ def account_currency(sources: Sources) -> DataFrame:
 
 def account_holders(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort rows with their accounts."""
-    return join_many_to_one(accounts(sources), cohort(sources, cfg), "profile_id", "account_id")
+    return join_split(accounts(sources), cohort(sources, cfg), "profile_id")
 
 
-def balance_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
+def balance_path(sources: Sources, cfg: FunnelConfig, of_accounts: DataFrame | None = None) -> DataFrame:
     """Cohort, account, balance."""
-    return account_holders(sources, cfg).join(balances(sources), "account_id")
+    return account_holders(sources, cfg).join(of_keys(balances(sources), "account_id", of_accounts), "account_id")
 
 
 def transaction_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, account, transaction, with the account's smallest currency."""
     holders = account_holders(sources, cfg).join(account_currency(sources), "account_id")
-    return join_many_to_one(transactions(sources), holders, "account_id", "transaction_id")
+    return join_split(transactions(sources), holders, "account_id")
 
 
-def order_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
+def order_path(sources: Sources, cfg: FunnelConfig, of_profiles: DataFrame | None = None) -> DataFrame:
     """Cohort, bank-detail order."""
-    return join_many_to_one(sources.bank_details_order_status, cohort(sources, cfg), "profile_id", "order_id")
+    return join_split(of_keys(sources.bank_details_order_status, "profile_id", of_profiles), cohort(sources, cfg), "profile_id")
 
 
 def receipt_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, incoming transfer."""
-    return join_many_to_one(sources.receive_transactions, cohort(sources, cfg), "profile_id", "request_id")
+    return join_split(sources.receive_transactions, cohort(sources, cfg), "profile_id")
 
 
-def card_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
+def card_path(sources: Sources, cfg: FunnelConfig, of_profiles: DataFrame | None = None) -> DataFrame:
     """Cohort, card summary.
 
     Cards are found by user id. The summary's own profile id differs from it
     and only goes into event ids.
     """
     cards = sources.card_issuance_summary.withColumnsRenamed({"profile_id": "card_profile_id", "user_id": "profile_id"})
-    return join_many_to_one(cards, cohort(sources, cfg), "profile_id", "card_profile_id")
+    return join_split(of_keys(cards, "profile_id", of_profiles), cohort(sources, cfg), "profile_id")
 
 
 def action_path(sources: Sources, cfg: FunnelConfig) -> DataFrame:
     """Cohort, account, and the account holder's successful balance actions or a null where there are none.
 
-    A left join cannot deal a hot profile's actions over several parts, so
-    the holders with actions and those without are found separately.
+    A left join whose right side may be skewed, so hot profiles' actions are dealt over several parts.
     """
-    holders = account_holders(sources, cfg)
     actions = sources.action_step.where(
         successful_balance_action(F.col("successful_action"), F.col("product_type"))
     ).withColumnRenamed("user_profile_id", "profile_id")
-    matched = join_many_to_one(actions, holders, "profile_id", "action_id")
-    active = actions.select("profile_id").distinct()
-    return matched.unionByName(holders.join(active, "profile_id", "left_anti"), allowMissingColumns=True)
+    return join_many_to_one(actions, account_holders(sources, cfg), "profile_id", "action_id", unmatched=True)

@@ -14,8 +14,8 @@ from milepost.functions.predicates import (
     successful_balance_action,
     supported_currency,
 )
-from milepost.operators.cohort import cohort, cohort_profiles
-from milepost.operators.events import Event, earliest, first_events
+from milepost.operators.cohort import account_keys, cohort, cohort_keys, cohort_profiles, of_keys
+from milepost.operators.events import Event, all_events, earliest, first_events
 from milepost.operators.paths import accounts, balances
 from milepost.operators.stages import Stage, stage_rows, start_rows, union_stages
 from milepost.schemas import ACCOUNT_FUNNEL_SCHEMA
@@ -95,28 +95,40 @@ def receipt_events(cfg: FunnelConfig) -> dict[str, Event]:
     }
 
 
-def first_balances(sources: Sources, cfg: FunnelConfig) -> DataFrame:
+# Each takes the keys of the profiles or accounts that are asked for, if they are few; facts of others are not read further.
+
+
+def first_balances(sources: Sources, cfg: FunnelConfig, of_accounts: DataFrame | None = None) -> DataFrame:
     """First balances of a profile: per account first, then over its accounts."""
     events = balance_events(cfg)
-    per_account = first_events(balances(sources), ["account_id"], events)
+    per_account = first_events(of_keys(balances(sources), "account_id", of_accounts), ["account_id"], events)
     return earliest(accounts(sources).join(per_account, "account_id"), ["profile_id"], list(events))
 
 
-def first_orders(sources: Sources, cfg: FunnelConfig) -> DataFrame:
-    return first_events(sources.bank_details_order_status, ["profile_id"], order_events(cfg))
+def first_orders(sources: Sources, cfg: FunnelConfig, of_profiles: DataFrame | None = None) -> DataFrame:
+    orders = of_keys(sources.bank_details_order_status, "profile_id", of_profiles)
+    return first_events(orders, ["profile_id"], order_events(cfg))
 
 
-def first_actions(sources: Sources, cfg: FunnelConfig) -> DataFrame:
-    """First currency exchange of a profile that has an account."""
+def first_actions(sources: Sources, cfg: FunnelConfig, of_profiles: DataFrame | None = None) -> DataFrame:
+    """First currency exchange of a profile that has an account.
+
+    Actions and accounts go through one aggregation, where accounts only leave a mark.
+    """
     actions = sources.action_step.withColumnRenamed("user_profile_id", "profile_id")
-    holders = accounts(sources).select("profile_id").distinct()
-    return first_events(actions, ["profile_id"], action_events(cfg)).join(holders, "profile_id")
+    found = all_events(of_keys(actions, "profile_id", of_profiles), ["profile_id"], action_events(cfg))
+    holders = of_keys(accounts(sources).select("profile_id"), "profile_id", of_profiles)
+    marked = found.withColumn("has_account", F.lit(False)).unionByName(
+        holders.withColumn("has_account", F.lit(True)), allowMissingColumns=True
+    )
+    per_profile = marked.groupBy("profile_id").agg(F.min("exchanged").alias("exchanged"), F.max("has_account").alias("has_account"))
+    return per_profile.where("has_account AND exchanged IS NOT NULL").drop("has_account")
 
 
-def first_receipts(sources: Sources, cfg: FunnelConfig) -> DataFrame:
+def first_receipts(sources: Sources, cfg: FunnelConfig, of_profiles: DataFrame | None = None) -> DataFrame:
     """First receipt of a profile in each currency."""
     keys = ["profile_id", "bank_detail_currency"]
-    return first_events(sources.receive_transactions, keys, receipt_events(cfg))
+    return first_events(of_keys(sources.receive_transactions, "profile_id", of_profiles), keys, receipt_events(cfg))
 
 
 # Facts with one row per profile; receipts have one per profile and currency.
@@ -141,21 +153,22 @@ def account_stage(key: str, sources: Sources, cfg: FunnelConfig = ACCOUNT_DEFAUL
 
 
 def account_funnel(sources: Sources, cfg: FunnelConfig = ACCOUNT_DEFAULTS) -> DataFrame:
-    """All eight stages. Each fact table is scanned and shuffled once."""
+    """All eight stages. Each fact table is scanned and shuffled once; of a small cohort only its facts are shuffled."""
     profiles = cohort_profiles(sources, cfg)
+    few = cohort_keys(sources, cfg)
     per_profile = [stage for stage in stages(cfg).values() if stage.event in _PER_PROFILE]
     per_currency = [stage for stage in stages(cfg).values() if stage.event not in _PER_PROFILE]
     wide = (
-        profiles.join(first_balances(sources, cfg), "profile_id", "left")
-        .join(first_orders(sources, cfg), "profile_id", "left")
-        .join(first_actions(sources, cfg), "profile_id", "left")
+        profiles.join(first_balances(sources, cfg, account_keys(sources, few)), "profile_id", "left")
+        .join(first_orders(sources, cfg, few), "profile_id", "left")
+        .join(first_actions(sources, cfg, few), "profile_id", "left")
     )
     return union_stages(
         [
             start_rows(cohort(sources, cfg), ACCOUNT_FUNNEL_SCHEMA, cfg),
             stage_rows(wide, per_profile, ACCOUNT_FUNNEL_SCHEMA, cfg),
             stage_rows(
-                profiles.join(first_receipts(sources, cfg), "profile_id"), per_currency, ACCOUNT_FUNNEL_SCHEMA, cfg
+                profiles.join(first_receipts(sources, cfg, few), "profile_id"), per_currency, ACCOUNT_FUNNEL_SCHEMA, cfg
             ),
         ]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from milepost.config import CARD_DEFAULTS, FunnelConfig
 from milepost.functions.columns import days_after, id_with_time, id_with_time_and_days
-from milepost.operators.cohort import COHORT_COLUMNS, cohort
+from milepost.operators.cohort import COHORT_COLUMNS, cohort, cohort_keys
 from milepost.operators.events import Event, all_events
 from milepost.operators.paths import card_path
 from milepost.operators.stages import Stage, stage_rows, start_rows, union_stages
@@ -44,9 +44,9 @@ def card_events() -> dict[str, Event]:
     }
 
 
-def card_summaries(sources: Sources, cfg: FunnelConfig) -> DataFrame:
+def card_summaries(sources: Sources, cfg: FunnelConfig, of_profiles: DataFrame | None = None) -> DataFrame:
     """Every summary row of a cohort row; all are kept."""
-    return all_events(card_path(sources, cfg), COHORT_COLUMNS, card_events())
+    return all_events(card_path(sources, cfg, of_profiles), COHORT_COLUMNS, card_events())
 
 
 def card_stage(key: str, sources: Sources, cfg: FunnelConfig = CARD_DEFAULTS) -> DataFrame:
@@ -58,9 +58,10 @@ def card_stage(key: str, sources: Sources, cfg: FunnelConfig = CARD_DEFAULTS) ->
 
 def card_funnel(sources: Sources, cfg: FunnelConfig = CARD_DEFAULTS) -> DataFrame:
     """All five stages; the summary is scanned and joined once for the four that use it."""
+    summaries = card_summaries(sources, cfg, cohort_keys(sources, cfg))
     return union_stages(
         [
             start_rows(cohort(sources, cfg), COHORT_FUNNEL_SCHEMA, cfg),
-            stage_rows(card_summaries(sources, cfg), list(stages(cfg).values()), COHORT_FUNNEL_SCHEMA, cfg),
+            stage_rows(summaries, list(stages(cfg).values()), COHORT_FUNNEL_SCHEMA, cfg),
         ]
     )

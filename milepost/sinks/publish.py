@@ -12,18 +12,28 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from milepost.sinks.catalog import LEASE_SECONDS, drop, exists, is_view, lease, quoted, rename
 
 
-def _write(df: DataFrame, schema: str, name: str, partition_by: Sequence[str] = ()) -> None:
+def _write(
+    df: DataFrame, schema: str, name: str, partition_by: Sequence[str] = (), bucket_by: tuple[str, int] | None = None
+) -> None:
     """A new table with the rows of df. A failing query leaves nothing in the catalog.
 
-    With partition columns, each one's rows are gathered into files of a good size, split where they are many.
+    With partition columns, each one's rows are gathered into files of a good size, split where they are many. With buckets,
+    (column, number), each bucket is one file, sorted by the column.
     """
-    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    if bucket_by:
+        column, buckets = bucket_by
+        writer = df.repartition(buckets, column).write.partitionBy(*partition_by).bucketBy(buckets, column).sortBy(column)
+    elif partition_by:
+        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+    else:
+        writer = df.write
     try:
-        rows.write.partitionBy(*partition_by).saveAsTable(quoted(schema, name))
+        writer.saveAsTable(quoted(schema, name))
     except BaseException:
         drop(df.sparkSession, schema, name)
         raise
@@ -103,6 +113,7 @@ def publish_replace(
     schema: str,
     name: str,
     partition_by: Sequence[str] = (),
+    bucket_by: tuple[str, int] | None = None,
     keep: int = 1,
     catalog: str | None = None,
     lease_seconds: float = LEASE_SECONDS,
@@ -115,18 +126,23 @@ def publish_replace(
     it as it was and nothing beside it. A plain table of this name becomes the first version; only then it is absent between
     two changes of the catalog.
 
+    ``partition_by`` and ``bucket_by``, (column, number of buckets), lay the table out; the columns keep their order.
+
     With ``catalog``, a catalog of tables that replaces them by itself, the table is replaced there; whether in one step is
     that catalog's matter.
     """
     spark = df.sparkSession
     if catalog:
         writer = df.writeTo(quoted(catalog, schema, name))
-        (writer.partitionedBy(*[df[column] for column in partition_by]) if partition_by else writer).createOrReplace()
+        layout = [df[column] for column in partition_by]
+        if bucket_by:
+            layout.append(F.partitioning.bucket(bucket_by[1], bucket_by[0]))
+        (writer.partitionedBy(*layout) if layout else writer).createOrReplace()
         return spark.table(quoted(catalog, schema, name))
     with lease(spark, schema, name, lease_seconds) as own:
         _settle(spark, schema, name)
         version = _version_name(name)
-        _write(df, schema, version, partition_by)
+        _write(df, schema, version, partition_by, bucket_by)
         own.check()
         if exists(spark, schema, name) and not is_view(spark, schema, name):
             first = _version_name(name)
