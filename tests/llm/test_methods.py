@@ -9,7 +9,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from milepost.llm import op1_reshard, op2_toxicity, op3_sentencepiece, op4_setsketch, op5_pii, op6_spaced_seeds, op7_language, op9_suffix_dedup, vectors
+from milepost.llm import (
+    op1_reshard,
+    op2_toxicity,
+    op3_sentencepiece,
+    op4_setsketch,
+    op5_pii,
+    op6_spaced_seeds,
+    op7_language,
+    op9_suffix_dedup,
+    op10_sentence_spans,
+    vectors,
+)
 from milepost.llm.queries import all_queries
 from tests.llm import plain
 
@@ -312,3 +323,30 @@ def test_repeated_bytes_equal_those_of_a_plain_search(spark, monkeypatch, docume
     found = op9_suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("digest", F.sha2("kept", 256))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["digest"]) for r in found.collect()}
     assert got == plain.without_repeats(rows, 100)
+
+
+def test_repeated_passages_of_few_sentences_and_rows_that_share_an_id(spark):
+    def sentence(start: int, words: int) -> str:
+        return " ".join(f"w{k}" for k in range(start, start + words)) + "."
+
+    two, one, three = f"{sentence(0, 20)} {sentence(20, 15)}", sentence(100, 40), " ".join(sentence(200 + 9 * k, 9) for k in range(3))
+    short, pair = sentence(300, 10), f"{sentence(310, 9)} {sentence(320, 9)}"
+    own = iter(range(1000, 9000, 5))
+
+    def among(*parts: str) -> str:
+        return " ".join(x for part in parts for x in (sentence(next(own), 5), part)) + f" {sentence(next(own), 5)}"
+
+    rows = [
+        (0, among(two, one, three, short, pair)),
+        (1, among(two)), (2, among(one)), (3, among(three)), (4, among(short)), (5, among(pair)),
+        (6, among("of its own") + "\n" + sentence(600, 30)), (6, among(two)),  # one id, two texts
+        (None, among(one)), (None, among("no id either")), (None, among(one)), (7, pair), (8, pair),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({name: F.lit(1) for name in plain.CLASHING})
+    found = sorted((str(r["doc_id"]), r["n_sentences"], r["removed"]) for r in op10_sentence_spans.remove_repeats(df).collect())
+    gone = {"1": [1, 2], "2": [1], "3": [1, 2, 3], "4": [], "5": [], "7": [], "8": [0, 1]}
+    assert all(removed == gone[d] for d, _, removed in found if d in gone)
+    assert [removed for d, _, removed in found if d == "6"] == [[], [1, 2]]
+    # A null id comes first, so of the rows with `one` a row without an id keeps it.
+    assert sorted(removed for d, _, removed in found if d == "None") == [[], [], [1]]
+    assert [removed for d, _, removed in found if d == "0"] == [[4]]
