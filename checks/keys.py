@@ -27,8 +27,8 @@ Build = Callable[[Sources], DataFrame]
 CONFIG = FunnelConfig(start_date=START_DATE)
 
 
-def _on_sources(build: Build) -> Query:
-    return lambda spark, directory: build(star_sources(spark, directory))
+def _on_sources(build: Build, fan_out: bool = False) -> Query:
+    return lambda spark, directory: build(star_sources(spark, directory, fan_out))
 
 
 def _scans() -> dict[str, Build]:
@@ -275,6 +275,15 @@ def _sinks() -> dict[str, Query]:
     }
 
 
+#: Keys that are also asked with several accounts, addresses and cards per customer, as `fan_<key>`.
+FAN_OUT_KEYS = (
+    *("join_cohort", "join_balance_path", "join_txn_path", "join_action_left", "join_bank_orders", "join_card_summary"),
+    *("first_balance", "first_supported_balance", "first_cross_ccy", "first_deposit", "first_non_deposit"),
+    *("account_funnel", "balance_funnel", "card_funnel"),
+)
+
+
 def all_queries() -> dict[str, Query]:
     builds = {**_scans(), **_projections(), **_filters(), **_joins(), **_rankings(), **_reports(), **_funnels()}
-    return {**{key: _on_sources(build) for key, build in builds.items()}, **_sinks()}
+    fans = {f"fan_{key}": _on_sources(builds[key], fan_out=True) for key in FAN_OUT_KEYS}
+    return {**{key: _on_sources(build) for key, build in builds.items()}, **fans, **_sinks()}

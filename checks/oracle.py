@@ -120,8 +120,30 @@ COHORT_COLUMNS = (
 )
 
 
-def _query(body: str) -> str:
-    tables = ",\n".join(f"{name} AS ({sql})" for name, sql in TABLES.items())
+_FAN_ACCOUNT = "CASE WHEN c % 7 = 3 AND k % 4 = 1 THEN 2000000 ELSE 1000000 END + c AS account_id"
+
+#: Some customers have a second account, to which a quarter of their orders belong, a second primary address and a second card.
+FAN_OUT = {
+    **TABLES,
+    "address": f"""
+        {TABLES["address"]}
+        UNION ALL
+        SELECT c_custkey, '{PRIMARY_ADDRESS_TYPE}', n_name
+        FROM customer JOIN nation ON n_nationkey = (c_nationkey + 1) % 25 WHERE c_custkey % 11 = 4""",
+    "account": f"""
+        {TABLES["account"]} UNION ALL SELECT 2000000 + c_custkey, c_custkey FROM customer WHERE c_custkey % 7 = 3""",
+    "balance": TABLES["balance"].replace("1000000 + c AS account_id", _FAN_ACCOUNT),
+    "balance_transaction": TABLES["balance_transaction"].replace("1000000 + c AS account_id", _FAN_ACCOUNT),
+    "cards": f"""
+        {TABLES["cards"]}
+        UNION ALL
+        SELECT c, c + 700000, t0 + to_days(1), t0 + to_days(6), t0 + to_days(CAST(c % 50 AS INTEGER)), CAST(c % 100 AS INTEGER)
+        FROM (SELECT c, min(t) AS t0 FROM placed WHERE pr <> '5-LOW' GROUP BY c) WHERE c % 13 = 5""",
+}
+
+
+def _query(body: str, named: dict[str, str] = TABLES) -> str:
+    tables = ",\n".join(f"{name} AS ({sql})" for name, sql in named.items())
     return f"WITH {tables}\n{body}"
 
 
@@ -353,5 +375,26 @@ def _bodies() -> dict[str, str]:
     }
 
 
+#: Keys that are also asked with several accounts, addresses and cards per customer, as `fan_<key>`.
+FAN_OUT_KEYS = (
+    "join_cohort",
+    "join_balance_path",
+    "join_txn_path",
+    "join_action_left",
+    "join_bank_orders",
+    "join_card_summary",
+    "first_balance",
+    "first_supported_balance",
+    "first_cross_ccy",
+    "first_deposit",
+    "first_non_deposit",
+    "account_funnel",
+    "balance_funnel",
+    "card_funnel",
+)
+
+
 def all_sql() -> dict[str, str]:
-    return {key: _query(body) for key, body in _bodies().items()}
+    bodies = _bodies()
+    fans = {f"fan_{key}": _query(bodies[key], FAN_OUT) for key in FAN_OUT_KEYS}
+    return {**{key: _query(body) for key, body in bodies.items()}, **fans}

@@ -1,6 +1,7 @@
 """The funnels written the long way: one branch per stage, ranked with a window over the full join.
 
-Used to check the library's shorter plans for equal rows, and as the baseline of the benchmark.
+Used to check the library's shorter plans for equal rows, and as the baseline of the benchmark. Conditions and computed
+columns are written here anew, so that a fault in the library's own is not on both sides.
 """
 
 from __future__ import annotations
@@ -12,12 +13,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from milepost.config import FunnelConfig
-from milepost.functions import columns as C
-from milepost.functions import predicates as P
 from milepost.schemas import ACCOUNT_FUNNEL_SCHEMA, COHORT_FUNNEL_SCHEMA
 from milepost.sources import Sources
 
 
+def _text(column: str) -> Column:
+    return F.format_string("%d", F.col(column))
+
+
+def _time(column: str) -> Column:
+    """To the millisecond."""
+    moment = F.col(column)
+    parts = [F.date_format(F.to_date(moment), "yyyy-MM-dd")]
+    seconds = F.extract(F.lit("SECOND"), moment)  # with six digits
+    millis = F.floor(seconds * 1000).cast("int")
+    clock = F.format_string(" %02d:%02d:%02d.%03d", F.hour(moment), F.minute(moment), (millis / 1000).cast("int"), millis % 1000)
+    return F.when(moment.isNotNull(), F.concat(*parts, clock))
+
+
+def _after(moment: Column, days: Column) -> Column:
+    return moment + F.make_dt_interval(days=days)
+
+
+def _inside(date: Column, created: Column, until: int | None, after: int | None) -> Column:
+    conditions = [date.isNotNull()]
+    if until is not None:
+        conditions.append(date < _after(created, F.lit(until)))
+    if after is not None:
+        conditions.append(date > _after(created, F.lit(after)))
+    return reduce(Column.__and__, conditions)
+
+
+def _deposit(is_one: bool) -> Column:
+    return F.expr(f"state = 'COMPLETED' AND type {'=' if is_one else '<>'} 'DEPOSIT'")
+
+
 def _cohort(s: Sources, cfg: FunnelConfig) -> DataFrame:
     profiles, addresses = s.user_profile.alias("p"), s.address.alias("a")
     return profiles.join(
@@ -99,17 +129,17 @@ def _branch(
     created = F.col("created")
     columns = {
         "profile_id": F.col("pid"),
-        "profile_type": C.profile_type(F.col("class"), cfg.personal_class),
+        "profile_type": F.coalesce(F.when(F.col("class") == cfg.personal_class, "Personal"), F.lit("Business")),
         "country_code": F.col("country_code"),
         "currency": F.col("_currency"),
-        "cohort_month": C.cohort_month(created),
-        "cohort_week": C.cohort_week(created),
+        "cohort_month": F.make_timestamp_ntz(F.year(created), F.month(created), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
+        "cohort_week": F.date_sub(F.to_date(created), F.weekday(created)).cast("timestamp_ntz"),
         "profile_date_created": created,
         "date": F.col("_date"),
         "event": F.lit(label),
         "event_id": F.col("_text"),
     }
-    return rows.where(P.within_days(F.col("_date"), created, until, after)).select(
+    return rows.where(_inside(F.col("_date"), created, until, after)).select(
         *[columns[name].alias(name) for name in schema.names]
     )
 
@@ -119,18 +149,18 @@ def _union(branches: list[DataFrame]) -> DataFrame:
 
 
 def _start(s: Sources, cfg: FunnelConfig, schema: StructType) -> DataFrame:
-    text = C.event_id_text(F.col("pid"))
+    text = _text("pid")
     return _branch(_cohort(s, cfg), cfg, schema, "1. PROFILE_CREATED", F.col("created"), text, F.lit("N/A"), None)
 
 
 def account_funnel(s: Sources, cfg: FunnelConfig) -> DataFrame:
     schema, days = ACCOUNT_FUNNEL_SCHEMA, cfg.window_days
-    plain, long = C.event_id_text(F.col("fact_id")), C.suffixed_id(F.col("fact_id"))
+    plain, long = _text("fact_id"), F.format_string("%d9999", F.col("fact_id"))
     currency, per_profile = F.col("currency"), [F.col("pid")]
-    supported = P.supported_currency(currency, cfg.supported_currencies)
+    supported = currency.isin(*cfg.supported_currencies)
     verified_at = F.coalesce("verification_completion_time", "bankdetail_initiation_time")
-    exchanges = P.crosses_currency(F.col("source_currency"), F.col("target_currency"), F.col("flag_for_aggregations"))
-    from_supported = P.supported_currency(F.col("source_currency"), cfg.supported_currencies)
+    exchanges = F.expr("source_currency <> target_currency AND flag_for_aggregations = 1")
+    from_supported = F.col("source_currency").isin(*cfg.supported_currencies)
 
     def ranked(rows, label, date, text, shown=currency, keys=per_profile):
         return _branch(rows, cfg, schema, label, date, text, shown, days, rank_by=keys)
@@ -182,10 +212,9 @@ def account_funnel(s: Sources, cfg: FunnelConfig) -> DataFrame:
 def balance_funnel(s: Sources, cfg: FunnelConfig) -> DataFrame:
     schema, days = COHORT_FUNNEL_SCHEMA, cfg.window_days
     after, until = cfg.late_window
-    text, currency, keys = C.event_id_text(F.col("fact_id")), F.col("currency"), [F.col("pid")]
+    text, currency, keys = _text("fact_id"), F.col("currency"), [F.col("pid")]
     verified_at = F.coalesce("verification_completion_time", "bankdetail_initiation_time")
-    deposits = P.completed_deposit(F.col("state"), F.col("type"))
-    others = P.completed_non_deposit(F.col("state"), F.col("type"))
+    deposits, others = _deposit(True), _deposit(False)
     used = _on_transaction(s, cfg).where(others)
     late = "5. CCY TX WITHIN 90 DAYS (EXCL DEPOSIT)"
     return _union(
@@ -220,12 +249,12 @@ def balance_funnel(s: Sources, cfg: FunnelConfig) -> DataFrame:
 
 
 def card_funnel(s: Sources, cfg: FunnelConfig) -> DataFrame:
-    schema, none, profile = COHORT_FUNNEL_SCHEMA, F.lit("N/A"), F.col("profile_id")
+    schema, none, profile = COHORT_FUNNEL_SCHEMA, F.lit("N/A"), _text("profile_id")
     days = F.col("days_first_card_creation_to_five_transaction")
 
     def timed(label, column, until):
         at = F.col(column)
-        return _branch(_on_card(s, cfg), cfg, schema, label, at, C.id_with_time(profile, at), none, until)
+        return _branch(_on_card(s, cfg), cfg, schema, label, at, F.concat(profile, _time(column)), none, until)
 
     return _union(
         [
@@ -238,8 +267,8 @@ def card_funnel(s: Sources, cfg: FunnelConfig) -> DataFrame:
                 cfg,
                 schema,
                 "5. FIVE TX 90D",
-                C.days_after(F.col("created"), days),
-                C.id_with_time_and_days(profile, F.col("first_activation_time"), days),
+                _after(F.col("created"), days),
+                F.concat(profile, _time("first_activation_time"), days.cast("string")),
                 none,
                 cfg.card_five_tx_days,
             ),

@@ -39,10 +39,15 @@ def _add_days(moment: Column, days: Column) -> Column:
     return F.timestamp_add("DAY", days, moment)
 
 
-def star_sources(spark: SparkSession, directory: str) -> Sources:
+def star_sources(spark: SparkSession, directory: str, fan_out: bool = False) -> Sources:
+    """The nine tables. With ``fan_out`` some customers have a second account, primary address and card summary."""
+
     def read(name: str) -> DataFrame:
         return spark.read.schema(_COLUMNS[name]).parquet(f"{directory}/{name}.parquet")
 
+    own = F.col("c") + 1000000
+    if fan_out:
+        own = F.when((F.col("c") % 7 == 3) & (F.col("k") % 4 == 1), F.col("c") + 2000000).otherwise(own)
     customer, nation, lineitem = read("customer"), read("nation"), read("lineitem")
     order = read("orders").select(
         F.col("o_orderkey").alias("k"),
@@ -55,19 +60,17 @@ def star_sources(spark: SparkSession, directory: str) -> Sources:
     return Sources.of(
         {
             "user_profile": _user_profile(customer, order),
-            "address": _address(customer, nation),
-            "account": customer.where("c_custkey % 10 <> 9").select(
-                (F.col("c_custkey") + 1000000).alias("id"), F.col("c_custkey").alias("profile_id")
-            ),
+            "address": _address(customer, nation, fan_out),
+            "account": _account(customer, fan_out),
             "balance": order.where(F.col("pr").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).select(
                 F.col("k").alias("id"),
-                (F.col("c") + 1000000).alias("account_id"),
+                own.alias("account_id"),
                 _currency("k").alias("currency"),
                 F.col("t").alias("creation_time"),
             ),
             "balance_transaction": order.select(
                 F.col("k").alias("id"),
-                (F.col("c") + 1000000).alias("account_id"),
+                own.alias("account_id"),
                 F.when(F.col("st") == "O", "PENDING").otherwise("COMPLETED").alias("state"),
                 F.when(F.col("pr").isin("1-URGENT", "2-HIGH"), "DEPOSIT").otherwise("CONVERSION").alias("type"),
                 F.col("t").alias("creation_time"),
@@ -80,7 +83,7 @@ def star_sources(spark: SparkSession, directory: str) -> Sources:
                 _currency("l_orderkey + l_linenumber").alias("bank_detail_currency"),
                 _add_days(F.col("t"), F.col("l_linenumber")).alias("receival_date"),
             ),
-            "card_issuance_summary": _cards(order),
+            "card_issuance_summary": _cards(order, fan_out),
         }
     )
 
@@ -98,16 +101,25 @@ def _user_profile(customer: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
-def _address(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    primary = (
-        customer.where("c_custkey % 50 <> 7")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
+def _account(customer: DataFrame, fan_out: bool) -> DataFrame:
+    def numbered(rows: DataFrame, offset: int) -> DataFrame:
+        return rows.select((F.col("c_custkey") + offset).alias("id"), F.col("c_custkey").alias("profile_id"))
+
+    first = numbered(customer.where("c_custkey % 10 <> 9"), 1000000)
+    return first.unionByName(numbered(customer.where("c_custkey % 7 = 3"), 2000000)) if fan_out else first
+
+
+def _address(customer: DataFrame, nation: DataFrame, fan_out: bool) -> DataFrame:
+    def in_nation(rows: DataFrame, number: Column) -> DataFrame:
+        return rows.join(nation, number == F.col("n_nationkey")).select(
             F.col("c_custkey").alias("user_profile_id"),
             F.lit(PRIMARY_ADDRESS_TYPE).alias("address_type"),
             F.col("n_name").alias("country_code"),
         )
-    )
+
+    primary = in_nation(customer.where("c_custkey % 50 <> 7"), F.col("c_nationkey"))
+    if fan_out:
+        primary = primary.unionByName(in_nation(customer.where("c_custkey % 11 = 4"), (F.col("c_nationkey") + 1) % 25))
     secondary = customer.where("c_custkey % 3 = 0").select(
         F.col("c_custkey").alias("user_profile_id"),
         F.lit("SECONDARY_ADDRESS").alias("address_type"),
@@ -144,18 +156,25 @@ def _actions(line: DataFrame) -> DataFrame:
     )
 
 
-def _cards(order: DataFrame) -> DataFrame:
+def _cards(order: DataFrame, fan_out: bool) -> DataFrame:
     key, first = F.col("c"), F.col("t0")
-    return (
-        order.where("pr <> '5-LOW'")
-        .groupBy("c")
-        .agg(F.min("t").alias("t0"))
-        .select(
-            key.alias("user_id"),
-            (key + 500000).alias("profile_id"),
-            first.alias("first_card_order_time"),
-            F.when(key % 8 != 0, _add_days(first, F.lit(4))).alias("first_card_creation_time"),
-            F.when(key % 6 != 0, _add_days(first, (key % 40).cast("int"))).alias("first_activation_time"),
-            F.when(key % 9 != 0, key % 130).cast("int").alias("days_first_card_creation_to_five_transaction"),
-        )
+    firsts = order.where("pr <> '5-LOW'").groupBy("c").agg(F.min("t").alias("t0"))
+    cards = firsts.select(
+        key.alias("user_id"),
+        (key + 500000).alias("profile_id"),
+        first.alias("first_card_order_time"),
+        F.when(key % 8 != 0, _add_days(first, F.lit(4))).alias("first_card_creation_time"),
+        F.when(key % 6 != 0, _add_days(first, (key % 40).cast("int"))).alias("first_activation_time"),
+        F.when(key % 9 != 0, key % 130).cast("int").alias("days_first_card_creation_to_five_transaction"),
+    )
+    if not fan_out:
+        return cards
+    second = firsts.where("c % 13 = 5").select(
+        key.alias("user_id"),
+        (key + 700000).alias("profile_id"),
+        _add_days(first, F.lit(1)).alias("first_card_order_time"),
+        _add_days(first, F.lit(6)).alias("first_card_creation_time"),
+        _add_days(first, (key % 50).cast("int")).alias("first_activation_time"),
+        (key % 100).cast("int").alias("days_first_card_creation_to_five_transaction"),
     )
+    return cards.unionByName(second)
