@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,13 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share, of spark.checkpoint.dir; where that is unset, as in tests, a temporary one.
+
+    On a cluster it has to be set, as a temporary folder of the driver is no place that executors can reach.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="milepost-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="milepost-"))
     return context.getCheckpointDir()
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like `wanted` that df does not have."""
+    taken = {name.lower() for name in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def stored(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """df written to the shared folder and read again: computed once, and safe from the loss of an executor."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milepost.llm import vectors
-from milepost.llm.common import stored, table
+from milepost.llm.common import free_name, stored, table
 
 #: A register is floor(1 - log(x, BASE)) of the smallest x, exponential with rate RATE, kept between 0 and LIMIT.
 BASE, RATE, LIMIT = 1.02, 20.0, 65535
@@ -298,8 +298,9 @@ def without_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Rows without an id or without words stay, unless another row is equal in id and text.
     """
     found = stored(near_duplicates(docs, rule), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milepost.llm.common import stored, table
+from milepost.llm.common import free_name, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs as many different trusted strings, and at least this precision and selectivity.
@@ -242,17 +242,19 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with its columns, personal data in `text` replaced; n_chars, where there is one, is brought up to date."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    spans = spans.groupBy("_key").agg(F.first("_spans").alias("_spans"))
-    joined = docs.withColumn("_key2", F.xxhash64("doc_id", "text")).join(spans, F.col("_key2") == F.col("_key"), "left")
+    own, found_id, found_key, found = (free_name(docs, name) for name in ("_own", "_found_id", "_found_key", "_found"))
+    spans = find(docs).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(found_id), F.col("key").alias(found_key))
+    spans = spans.agg(F.first("spans").alias(found))
+    same = (F.col(own) == F.col(found_key)) & F.col("doc_id").eqNullSafe(F.col(found_id))
+    joined = docs.withColumn(own, F.xxhash64("doc_id", "text")).join(spans, same, "left")
 
     @F.udf("string", useArrow=True)
-    def cut(text, found):
-        return text if text is None or not found else redacted(text, [(x["kind"], x["start"], x["end"]) for x in found])
+    def cut(text, spans):
+        return text if text is None or not spans else redacted(text, [(x["kind"], x["start"], x["end"]) for x in spans])
 
-    clean = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
+    clean = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut("text", found)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        clean = clean.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return clean.select(*docs.columns)
 
 

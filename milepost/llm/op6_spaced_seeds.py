@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milepost.llm.common import table
+from milepost.llm.common import free_name, table
 
 #: Masks of one length; words at 0 are ignored.
 MASKS = ("1110110111", "1101111011", "1111001111")
@@ -139,8 +139,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that overlap no benchmark item. A null doc_id is kept only if no such row overlaps."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    name = free_name(docs, "_bad")
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

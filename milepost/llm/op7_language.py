@@ -288,9 +288,9 @@ def predict(docs: DataFrame, automata: Automata) -> DataFrame:
 
 
 def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is known; those that are `und` go.
+    """The rows of `docs`, all columns, whose language is known; those that are `und` go. A null `lang` becomes the one found.
 
-    Where no language was learnt, only rows without a letter go.
+    Where no language was learnt, only rows without a letter go, and none gets a language.
     """
     model = docs.sparkSession.sparkContext.broadcast(automata)
 
@@ -298,7 +298,10 @@ def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if model.value.languages:
-                keep = [name != UNKNOWN for name in judged(texts, model.value)[0]]
+                names = judged(texts, model.value)[0]
+                keep = [name != UNKNOWN for name in names]
+                labels = [name if own is None else own for own, name in zip(batch.column("lang").to_pylist(), names, strict=True)]
+                batch = batch.set_column(batch.schema.get_field_index("lang"), batch.schema.field("lang"), pa.array(labels, pa.string()))
             else:
                 keep = (phrases(texts, model.value)[2] > 0).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Columns whose names the operators use inside.
 CLASHING = ["key", "words", "seed", "shard", "node", "bucket", "place", "part", "found", "spans", "ids", "score", "size"]
+CLASHING += ["_key", "_key2", "_own", "_found", "_found_id", "_found_key", "_spans", "_gone", "_bad", "_doc_id"]
 
 ODD_TEXTS = [
     None,

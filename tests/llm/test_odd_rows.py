@@ -18,6 +18,8 @@ from milepost.llm import (
     op9_suffix_dedup,
     op10_sentence_spans,
 )
+from milepost.llm.common import shared_folder
+from tests.llm import plain
 from tests.llm.plain import odd_documents
 
 LABELS = "doc_id long, toxic int, words int"
@@ -89,6 +91,26 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
         assert kept.columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     first, second = (f for _, f in corpus_pipeline.STAGES[:2])
-    assert {r["doc_id"] for r in docs.exceptAll(first(spark, docs, "")).collect()} == {0, 1, 2, 4}
+    kept = first(spark, docs, "")
+    assert {r["doc_id"] for r in docs.drop("lang").exceptAll(kept.drop("lang")).collect()} == {0, 1, 2, 4}
+    # A row without a language has the one that was found, which is the only one learnt; others keep theirs.
+    assert docs.where("lang IS NULL").count() > 4 and {r["lang"] for r in kept.collect()} == {"en"}
+    # Columns of the caller keep their values, whatever they are called.
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        assert stage(spark, docs, str(tmp_path)).select(*plain.CLASHING).distinct().collect() == [(1,) * len(plain.CLASHING)]
     # The copy of 6 goes, and two of the three equal rows.
     assert sorted(str(r["doc_id"]) for r in docs.exceptAll(second(spark, docs, "")).collect()) == ["10", "10", "7"]
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    class Context:
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    Context.master = master
+    with pytest.raises(ValueError, match="spark.checkpoint.dir is not set"):
+        shared_folder(Session())
