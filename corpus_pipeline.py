@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, whose language cannot be told."""
+    """Drops documents without a letter, whose language cannot be told, and names the language of those that have none."""
     ship(spark)
     return op7_language.with_language(docs, op7_language.learn(docs))
 
