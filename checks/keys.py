@@ -250,10 +250,15 @@ def _replaced_by_event(df: DataFrame, schema: str, name: str) -> DataFrame:
 
 def _publish(key: str, write: Write, build: Build, then: Callable | None = None) -> Query:
     """Publishes a funnel and returns the table read back, or what `then` makes of it. One table for each key and folder,
-    which the next call replaces."""
+    which the next call replaces.
+
+    A swap renames to the table's own folder. Where the catalog ends with the session and the warehouse does not, that of an
+    earlier session would be in the way, so tables that are swapped are also named after the session.
+    """
 
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        name = f"published_{key}_{zlib.crc32(directory.encode()):08x}"
+        session = spark.sparkContext.applicationId if write is publish_staged_swap else ""
+        name = f"published_{key}_{zlib.crc32((directory + session).encode()):08x}"
         table = write(build(star_sources(spark, directory)), spark.catalog.currentDatabase(), name)
         return then(table) if then else table
 
