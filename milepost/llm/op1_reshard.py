@@ -1,15 +1,15 @@
 """Resharding by minimum-cost flow: the fewest bytes leave the shard they lie in.
 
 Old shard sizes are supplies, new capacities are demands. A byte that stays costs nothing, a byte that moves costs 1. The
-network has one node per shard and a hub through which moved bytes go, so it grows with the number of shards, and only
-shard sizes come to the driver. The flow is turned into blocks, each a range of bytes of one old shard in the order of its
+network has one node per shard and a hub through which moved bytes go, so it grows with the number of shards, is solved in
+linear time, and only shard sizes come to the driver. The flow is turned into blocks, each a range of bytes of one old shard in the order of its
 documents; a document goes where its middle byte falls. Only files of shards that gain or lose documents are rewritten.
 """
 
 from __future__ import annotations
 
-import heapq
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,66 +35,28 @@ class Block:
     end: int
 
 
-def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost) of a cheapest largest flow, by successive shortest paths."""
-    out: dict[int, list[int]] = {}
-    head, room, price = [], [], []
-    for a, b, capacity, cost in arcs:
-        for x, y, c, p in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            out.setdefault(x, []).append(len(head))
-            head.append(y)
-            room.append(c)
-            price.append(p)
-    height: dict[int, int] = dict.fromkeys(out, 0)
-    while True:
-        far, via, queue = {source: 0}, {}, [(0, source)]
-        while queue:
-            d, x = heapq.heappop(queue)
-            if d > far[x]:
-                continue
-            for e in out[x]:
-                y = head[e]
-                reach = d + price[e] + height[x] - height[y]
-                if room[e] and reach < far.get(y, reach + 1):
-                    far[y], via[y] = reach, e
-                    heapq.heappush(queue, (reach, y))
-        if sink not in far:
-            return [room[2 * k + 1] for k in range(len(arcs))]
-        most = max(far.values())
-        height = {x: h + far.get(x, most) for x, h in height.items()}
-        path, y = [], sink
-        while y != source:
-            path.append(via[y])
-            y = head[via[y] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+def flow_by_cost(old_sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """A cheapest largest flow: what stays in each place, what leaves each old shard and what arrives in each new one.
+
+    Every path of the network costs 0 (old shard to new shard of one place) or 1 (through the hub), and paths of cost 0 share
+    no arc with each other. Successive cheapest paths therefore fill those first and never take flow back, in linear time.
+    """
+    stay = [min(a, b) for a, b in zip(old_sizes, capacities, strict=False)]
+    leave = [size - (stay[i] if i < len(stay) else 0) for i, size in enumerate(old_sizes)]
+    arrive = [capacity - (stay[j] if j < len(stay) else 0) for j, capacity in enumerate(capacities)]
+    return stay, leave, arrive
 
 
 def blocks(old_sizes: list[int], capacities: list[int]) -> list[Block]:
     """The blocks of a cheapest plan. Old and new shard of one number are the same place; the sums must be equal."""
     if sum(old_sizes) != sum(capacities):
         raise ValueError("capacities must add up to the sizes")
-    if not sum(old_sizes):
-        return []
-    n, m = len(old_sizes), len(capacities)
-    source, sink, hub = n + m, n + m + 1, n + m + 2
-    arcs = [(source, i, size, 0) for i, size in enumerate(old_sizes)]
-    arcs += [(n + j, sink, capacity, 0) for j, capacity in enumerate(capacities)]
-    stay = len(arcs)
-    arcs += [(i, n + i, old_sizes[i], 0) for i in range(min(n, m))]
-    leave = len(arcs)
-    arcs += [(i, hub, size, 1) for i, size in enumerate(old_sizes)]
-    arrive = len(arcs)
-    arcs += [(hub, n + j, capacity, 0) for j, capacity in enumerate(capacities)]
-    flow = min_cost_flow(arcs, source, sink)
-    plan, wanted = [], [[j, flow[arrive + j]] for j in range(m) if flow[arrive + j]][::-1]
-    for i in range(n):
-        at = flow[stay + i] if i < m else 0
+    stay, leave, arrive = flow_by_cost(old_sizes, capacities)
+    plan, wanted = [], [[j, amount] for j, amount in enumerate(arrive) if amount][::-1]
+    for i, left in enumerate(leave):
+        at = stay[i] if i < len(stay) else 0
         if at:
             plan.append(Block(i, i, 0, at))
-        left = flow[leave + i]
         while left:
             taken = min(left, wanted[-1][1])
             plan.append(Block(i, wanted[-1][0], at, at + taken))
@@ -104,6 +66,21 @@ def blocks(old_sizes: list[int], capacities: list[int]) -> list[Block]:
     return plan
 
 
+def cut_rows(plan: list[Block]) -> list[tuple[int, int, int, int, int, int]]:
+    """(old, step, nth, new, start, end): each block once for every step of its old shard that it reaches into.
+
+    A shard is divided into as many equal steps as it has blocks, so there are at most twice as many rows as blocks.
+    """
+    number, size = Counter(b.old for b in plan), Counter()
+    for b in plan:
+        size[b.old] = max(size[b.old], b.end)
+    rows = []
+    for b in plan:
+        step = -(-size[b.old] // number[b.old])
+        rows += [(b.old, step, k, b.new, b.start, b.end) for k in range(b.start // step, (b.end - 1) // step + 1)]
+    return rows
+
+
 def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
@@ -122,13 +99,13 @@ def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
 def reshard(docs: DataFrame, old_shard: Column, shards: int) -> tuple[DataFrame, list[Block]]:
     """Every document with its new shard (0 to shards - 1), old and new sizes as near equal as whole documents allow.
 
-    Old shards are numbered by name; those beyond `shards` are emptied. Equal rows are separate rows. Without rows there
+    Old shards are numbered by name; those beyond `shards` are emptied. More than MAX_SHARDS, old or new, are refused. Equal rows are separate rows. Without rows there
     are no blocks. Only doc_id, text and the old shard's name are read; other columns may have any name.
     """
     rows = sized(docs, old_shard)
     found = rows.groupBy("old_name").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).limit(MAX_SHARDS + 1).collect()
-    if len(found) > MAX_SHARDS:
-        raise ValueError(f"more than {MAX_SHARDS} old shards")
+    if max(len(found), shards) > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards")
     found.sort(key=lambda r: r["old_name"])
     sizes = [r["bytes"] for r in found]
     plan = blocks(sizes, even_capacities(sum(sizes), shards))
@@ -136,15 +113,18 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int) -> tuple[DataFrame,
     olds = spark.createDataFrame(
         [(r["old_name"], i, -(-r["n"] // ROWS_PER_BUCKET)) for i, r in enumerate(found)], "old_name string, old int, buckets int"
     )
-    cuts = spark.createDataFrame([(b.old, b.new, b.start, b.end) for b in plan], "_old int, shard int, _from long, _to long")
+    pieces = cut_rows(plan)
+    steps = spark.createDataFrame(sorted({(old, step) for old, step, *_ in pieces}), "_old int, _step long")
+    cuts = spark.createDataFrame([(x[0], *x[2:]) for x in pieces], "_old int, _nth long, shard int, _from long, _to long")
     rows = rows.join(F.broadcast(olds), "old_name").withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("buckets")).cast("int")
     )
     rows = with_offsets(rows, "old", "bucket", [F.col("doc_id"), F.col("text_crc32")], F.col("size"), "at")
-    middle = F.col("at") + F.expr("size div 2")
-    placed = rows.join(
-        F.broadcast(cuts), (F.col("old") == F.col("_old")) & (middle >= F.col("_from")) & (middle < F.col("_to"))
-    )
+    rows = rows.withColumn("_middle", F.col("at") + F.expr("size div 2"))
+    # A row meets the few blocks of its step, not all blocks of its shard. Both tables grow with the shards only.
+    stepped = rows.join(F.broadcast(steps), F.col("old") == F.col("_old")).drop("_old").withColumn("_at", F.expr("_middle div _step"))
+    within = (F.col("_middle") >= F.col("_from")) & (F.col("_middle") < F.col("_to"))
+    placed = stepped.join(F.broadcast(cuts), (F.col("old") == F.col("_old")) & (F.col("_at") == F.col("_nth")) & within)
     return placed.select("doc_id", "text", "size", "text_crc32", "old", "shard"), plan
 
 

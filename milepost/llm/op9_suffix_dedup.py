@@ -11,7 +11,8 @@ Every byte covered by a string of LENGTH bytes that also starts earlier is remov
    are sorted directly, all others follow from them in one scan of the buckets of first bytes. Neighbours with a common
    prefix of LENGTH form classes, of which all but the first member repeat.
 
-A gram with more than GROUP different stretches leaves the third step: its windows' hashes are aggregated by Spark instead.
+A gram with more than GROUP different stretches leaves the third step: its windows' hashes, 128 bits each, are aggregated by
+Spark instead. Equal stretches of the second step have equal hashes of owner and stretch, 64 bits each.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ SPAN = LENGTH - GRAM + 1
 CHUNK, SORTED = 1 << 18, 1 << 20
 #: Different stretches of one gram up to which a task sorts them.
 GROUP = 20_000
-#: The place of a row without an id: before all others, and one document with other such rows.
+#: The place of a row without an id: before all others.
 NO_ID = -(2**63)
+#: What tells documents apart, and their order.
+DOCUMENT = ["place", "copy"]
 
 
-def rolling(data: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of all substrings of a length."""
+def rolling(data: np.ndarray, length: int, values: np.ndarray = vectors.BYTES) -> np.ndarray:
+    """64-bit hashes of all substrings of a length; `values` are the numbers that stand for the 256 bytes."""
     up, down = vectors.powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(vectors.BYTES[data] * up[: len(data)])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)])])
     return vectors.mix((sums[length:] - sums[:-length]) * down[: len(data) - length + 1])
 
 
@@ -87,73 +90,85 @@ def _stretch_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, pl
     return vectors.mix(out ^ vectors.mix((counts * 256 + places - starts).astype(np.uint64))).view(np.int64)
 
 
+def documents_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, place (the id) and copy: a hash of the text if any id stands on different texts, else 0."""
+    kind = F.xxhash64("text")
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("place"), kind.alias("copy"))
+    shared = rows.groupBy("place").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high")
+    return rows if shared.limit(1).count() else rows.withColumn("copy", F.lit(0).cast("long"))
+
+
 # start, count (up to SPAN) and owner's distance from the start in one long
 def _packed(starts: np.ndarray, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (starts << 16) | (counts << 8) | (places - starts)
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """place (the id), part, stretch and meta of each run of windows; part is the owner's hash, or null in settled rows.
+    """place, copy, part, stretch and meta of each run of windows; part is the owner's hash, or any number in settled rows.
 
-    A settled row repeats another of its batch that comes before it, and is dealt by its document.
+    place and copy are those of `documents_of`. A settled row repeats another of its batch that comes before it, and is dealt by its document.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), np.asarray(batch.column("place"))
+            texts, ids, kinds = batch.column("text").to_pylist(), np.asarray(batch.column("place")), np.asarray(batch.column("copy"))
             for first, last in vectors.text_batches(texts, 4 << 20):
                 found = []
                 for k in range(first, last):
                     data = _bytes(texts[k])
                     starts, counts, places, hashes = owners(data)
                     if len(starts):
-                        found.append((np.full(len(starts), ids[k]), hashes, _stretch_hashes(data, starts, counts, places), _packed(starts, counts, places)))
+                        own = np.full(len(starts), ids[k]), np.full(len(starts), kinds[k])
+                        found.append((*own, hashes, _stretch_hashes(data, starts, counts, places), _packed(starts, counts, places)))
                 if not found:
                     continue
-                place, part, stretch, meta = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((meta, place, stretch, part))
-                place, part, stretch, meta = place[order], part[order], stretch[order], meta[order]
+                place, copy, part, stretch, meta = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((meta, copy, place, stretch, part))
+                place, copy, part, stretch, meta = place[order], copy[order], part[order], stretch[order], meta[order]
                 same = np.concatenate([[False], (part[1:] == part[:-1]) & (stretch[1:] == stretch[:-1])])
                 # A repeated row is the same place and repeats nothing.
-                twice = np.concatenate([[False], (place[1:] == place[:-1]) & (meta[1:] == meta[:-1])]) & same
-                keep = ~twice
-                columns = [place[keep], np.where(same, place * 31 + (meta >> 24), part)[keep], stretch[keep], meta[keep], same[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "part", "stretch", "meta", "settled"])
+                twice = (place[1:] == place[:-1]) & (copy[1:] == copy[:-1]) & (meta[1:] == meta[:-1])
+                keep = ~(np.concatenate([[False], twice]) & same)
+                dealt = np.where(same, place * 31 + copy + (meta >> 24), part)
+                columns = [x[keep] for x in (place, copy, dealt, stretch, meta, same)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "copy", "part", "stretch", "meta", "settled"])
 
-    return docs.select("place", "text").mapInArrow(listed, "place long, part long, stretch long, meta long, settled boolean")
+    return docs.select(*DOCUMENT, "text").mapInArrow(listed, "place long, copy long, part long, stretch long, meta long, settled boolean")
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """place, part, meta and `later`: rows that repeat an earlier one (true), or that have others to be compared with (false)."""
+    """place, copy, part, meta and `later`: rows that repeat an earlier one (true), or that have others to be compared with (false)."""
     dealt = rows.repartition("part")
     group = Window.partitionBy("settled", "part")
-    same = Window.partitionBy("settled", "part", "stretch").orderBy("place", "meta")
-    marked = dealt.select("*", F.row_number().over(same).alias("nth"), F.first(F.struct("place", "meta")).over(same).alias("first"))
-    is_first = (F.col("first.place") == F.col("place")) & (F.col("first.meta") == F.col("meta"))
+    same = Window.partitionBy("settled", "part", "stretch").orderBy(*DOCUMENT, "meta")
+    whole = F.struct(*DOCUMENT, "meta")
+    marked = dealt.select("*", F.row_number().over(same).alias("nth"), F.first(whole).over(same).alias("first"))
+    is_first = F.col("first") == whole
     several = F.min("stretch").over(group) != F.max("stretch").over(group)
     marked = marked.withColumn("several", several).withColumn("later", F.col("settled") | ~is_first)
-    return marked.where(F.col("later") | (F.col("several") & (F.col("nth") == 1))).select("place", "part", "meta", "later")
+    return marked.where(F.col("later") | (F.col("several") & (F.col("nth") == 1))).select(*DOCUMENT, "part", "meta", "later")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """part, place, start, count and bytes of the wanted stretches (place, part, meta)."""
+    """part, place, copy, start, count and bytes of the wanted stretches (place, copy, part, meta)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for place, text, found in zip(batch.column("place").to_pylist(), batch.column("text"), batch.column("found"), strict=True):
+            ids = (batch.column(c).to_pylist() for c in DOCUMENT)
+            for place, copy, text, found in zip(*ids, batch.column("text"), batch.column("found"), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for x in found.as_py():
                     start, count = x["meta"] >> 16, (x["meta"] >> 8) & 255
-                    if start + count + LENGTH - 1 <= len(data):
-                        rows.append((x["part"], place, start, count, data[start : start + count + LENGTH - 1]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64()] * 4 + [pa.binary()]
+                    rows.append((x["part"], place, copy, start, count, data[start : start + count + LENGTH - 1]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64()] * 5 + [pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "place", "start", "count", "bytes"])
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "place", "copy", "start", "count", "bytes"])
 
-    lists = wanted.groupBy("place").agg(F.collect_list(F.struct("part", "meta")).alias("found")).hint("merge")
-    return docs.select("place", "text").join(lists, "place").mapInArrow(cut, "part long, place long, start long, count long, bytes binary")
+    lists = wanted.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("part", "meta")).alias("found")).hint("merge")
+    texts = docs.select(*DOCUMENT, "text").join(lists, DOCUMENT)
+    return texts.mapInArrow(cut, "part long, place long, copy long, start long, count long, bytes binary")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -221,12 +236,12 @@ def _direct_sort(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray
     return order
 
 
-def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """(place, start, end) of the bytes in windows that also occur earlier; rows: place, start, count of windows, bytes."""
-    text = np.frombuffer(b"\0".join(x[3] for x in rows) + b"\0", np.uint8)
-    lengths = np.array([len(x[3]) + 1 for x in rows])
+def repeated_windows(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    """(place, copy, start, end) of the bytes in windows that also occur earlier; rows: place, copy, start, count of windows, bytes."""
+    text = np.frombuffer(b"\0".join(x[4] for x in rows) + b"\0", np.uint8)
+    lengths = np.array([len(x[4]) + 1 for x in rows])
     heads = np.cumsum(lengths) - lengths
-    counts, places, starts = (np.array([x[k] for x in rows], np.int64) for k in (2, 0, 1))
+    places, copies, starts, counts = (np.array([x[k] for x in rows], np.int64) for k in range(4))
     owner = np.repeat(np.arange(len(rows)), lengths)
     offset = np.arange(len(text)) - heads[owner]
     is_window = offset < counts[owner]
@@ -237,50 +252,55 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
         live = np.flatnonzero(equal)
         equal[live] = words[order[live] + at] == words[order[live + 1] + at]
     classes = np.concatenate([[0], np.cumsum(~equal)])
-    place, start = places[owner[order]], starts[owner[order]] + offset[order]
-    sort = np.lexsort((start, place, classes))
-    order, classes, place, start = order[sort], classes[sort], place[sort], start[sort]
+    place, copy, start = places[owner[order]], copies[owner[order]], starts[owner[order]] + offset[order]
+    sort = np.lexsort((start, copy, place, classes))
+    order, classes, place, copy, start = order[sort], classes[sort], place[sort], copy[sort], start[sort]
     heads_of = np.concatenate([[True], classes[1:] != classes[:-1]])
     first = np.maximum.accumulate(np.where(heads_of, np.arange(len(order)), 0))
-    repeats = (place != place[first]) | (start != start[first])
+    repeats = (place != place[first]) | (copy != copy[first]) | (start != start[first])
     found = np.sort(order[repeats])
     runs = np.flatnonzero(np.concatenate([[True], np.diff(found) != 1])) if len(found) else found
     ends = np.append(runs[1:], len(found)) - 1 if len(found) else found
     a, b = found[runs], found[ends]
-    return list(zip(places[owner[a]].tolist(), (starts[owner[a]] + offset[a]).tolist(), (starts[owner[b]] + offset[b] + LENGTH).tolist(), strict=True))
+    begin, end = starts[owner[a]] + offset[a], starts[owner[b]] + offset[b] + LENGTH
+    return list(zip(*(x.tolist() for x in (places[owner[a]], copies[owner[a]], begin, end)), strict=True))
 
 
-SORT_SCHEMA = "place long, start long, end long, window long"
+SORT_SCHEMA = "place long, copy long, start long, end long, window long, window2 long"
+SORT_NAMES = ["place", "copy", "start", "end", "window", "window2"]
 
 
 def sort_groups(contexts: DataFrame) -> DataFrame:
-    """Ranges to remove (window null); of very large groups instead each window with its hash, to be compared by Spark."""
+    """Ranges to remove (window null); of very large groups instead each window with its two hashes, to be compared by Spark."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ranges(rows: list[tuple]) -> pa.RecordBatch:
             found = repeated_windows(rows)
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            columns = list(zip(*found, strict=True)) or [()] * 4
             arrays = [pa.array(c, pa.int64()) for c in columns]
-            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(found), pa.int64())], ["place", "start", "end", "window"])
+            return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(found), pa.int64())] * 2], SORT_NAMES)
 
         def windows(rows: list[tuple]) -> pa.RecordBatch:
-            place = np.repeat([x[0] for x in rows], [x[2] for x in rows])
-            start = np.concatenate([np.arange(x[1], x[1] + x[2]) for x in rows])
-            hashes = np.concatenate([rolling(np.frombuffer(x[3], np.uint8), LENGTH)[: x[2]] for x in rows]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (place, start, start + LENGTH, hashes)], ["place", "start", "end", "window"])
+            place, copy = (np.repeat([x[k] for x in rows], [x[3] for x in rows]) for k in (0, 1))
+            start = np.concatenate([np.arange(x[2], x[2] + x[3]) for x in rows])
+            one, two = (
+                np.concatenate([rolling(np.frombuffer(x[4], np.uint8), LENGTH, values)[: x[3]] for x in rows]).view(np.int64)
+                for values in (vectors.BYTES, vectors.BYTES2)
+            )
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (place, copy, start, start + LENGTH, one, two)], SORT_NAMES)
 
         held: list[tuple] = []  # of whole groups
         group: list[tuple] = []
         size, part, large = 0, None, False
         for batch in batches:
-            values = (batch.column(c).to_pylist() for c in ("part", "place", "start", "count", "bytes"))
+            values = (batch.column(c).to_pylist() for c in ("part", *DOCUMENT, "start", "count", "bytes"))
             for own, *row in zip(*values, strict=True):
                 if own != part:
                     if large and group:
                         yield windows(group)
                     elif group:
                         held += group
-                        size += sum(len(x[3]) for x in group)
+                        size += sum(len(x[4]) for x in group)
                     group, part, large = [], own, False
                     if size > SORTED:
                         yield ranges(held)
@@ -300,15 +320,16 @@ def sort_groups(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """place, start and end of ranges of bytes to remove; docs: place and text."""
+    """place, copy, start and end of ranges of bytes to remove; docs: place, copy and text."""
     known = stored(met(stretches(docs)), "stretches")
     start, count = F.shiftright("meta", 16), F.shiftright("meta", 8).bitwiseAND(F.lit(255))
-    later = known.where("later").select("place", start.alias("start"), (start + count + LENGTH - 1).alias("end"))
+    later = known.where("later").select(*DOCUMENT, start.alias("start"), (start + count + LENGTH - 1).alias("end"))
     sorted_ = stored(sort_groups(with_bytes(docs, known.where("NOT later"))), "ranges")
     windows = sorted_.where("window IS NOT NULL")
-    firsts = windows.groupBy("window").agg(F.min(F.struct("place", "start")).alias("first"))
-    repeats = windows.join(firsts, "window").where(F.struct("place", "start") != F.col("first"))
-    columns = ["place", "start", "end"]
+    at, both = F.struct(*DOCUMENT, "start"), ["window", "window2"]
+    firsts = windows.groupBy(*both).agg(F.min(at).alias("first"))
+    repeats = windows.join(firsts, both).where(at != F.col("first"))
+    columns = [*DOCUMENT, "start", "end"]
     return later.unionByName(sorted_.where("window IS NULL").select(columns)).unionByName(repeats.select(columns))
 
 
@@ -330,11 +351,11 @@ def remaining(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans and `kept`, the bytes that are left.
 
-    A null text is empty. Rows that share an id, or have none, are one document: equal rows get equal results, and ranges
-    found in one of several different texts are removed from each. Other columns are not read.
+    A null text is empty. Rows equal in id and text are one document and get equal results. Different texts of one id, or
+    without an id, are documents of their own, in the order of a hash of their texts. Other columns are not read.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("place"), "text")
-    lists = repeated_ranges(rows).groupBy("place").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).hint("merge")
+    rows = documents_of(docs)
+    lists = repeated_ranges(rows).groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "end")).alias("ranges")).hint("merge")
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +370,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(lists, "place", "left").select("doc_id", "text", "ranges")
+    joined = rows.join(lists, DOCUMENT, "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

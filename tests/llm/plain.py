@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections import defaultdict
 
@@ -99,3 +100,52 @@ def without_repeats(rows: list[tuple[int, str | None]], length: int) -> dict[int
         kept = bytes(c for k, c in enumerate(data) if k not in gone)
         out[d] = (len(data), len(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
+    """Flow on each arc (from, to, capacity, cost) of a cheapest largest flow, by successive shortest paths."""
+    out: dict[int, list[int]] = {}
+    head, room, price = [], [], []
+    for a, b, capacity, cost in arcs:
+        for x, y, c, p in ((a, b, capacity, cost), (b, a, 0, -cost)):
+            out.setdefault(x, []).append(len(head))
+            head.append(y)
+            room.append(c)
+            price.append(p)
+    height: dict[int, int] = dict.fromkeys(out, 0)
+    while True:
+        far, via, queue = {source: 0}, {}, [(0, source)]
+        while queue:
+            d, x = heapq.heappop(queue)
+            if d > far[x]:
+                continue
+            for e in out[x]:
+                y = head[e]
+                reach = d + price[e] + height[x] - height[y]
+                if room[e] and reach < far.get(y, reach + 1):
+                    far[y], via[y] = reach, e
+                    heapq.heappush(queue, (reach, y))
+        if sink not in far:
+            return [room[2 * k + 1] for k in range(len(arcs))]
+        most = max(far.values())
+        height = {x: h + far.get(x, most) for x, h in height.items()}
+        path, y = [], sink
+        while y != source:
+            path.append(via[y])
+            y = head[via[y] ^ 1]
+        amount = min(room[e] for e in path)
+        for e in path:
+            room[e] -= amount
+            room[e ^ 1] += amount
+
+
+def fewest_moved(old: list[int], new: list[int]) -> int:
+    """Cost of a cheapest flow through the network of shards and a hub, by the general solver."""
+    n, m = len(old), len(new)
+    source, sink, hub = n + m, n + m + 1, n + m + 2
+    arcs = [(source, i, size, 0) for i, size in enumerate(old)] + [(n + j, sink, size, 0) for j, size in enumerate(new)]
+    arcs += [(i, n + i, old[i], 0) for i in range(min(n, m))] + [(i, hub, size, 1) for i, size in enumerate(old)]
+    arcs += [(hub, n + j, size, 0) for j, size in enumerate(new)]
+    flow = min_cost_flow(arcs, source, sink)
+    assert sum(flow[:n]) == sum(old)
+    return sum(f * arc[3] for f, arc in zip(flow, arcs, strict=True))

@@ -60,6 +60,35 @@ def test_flow_moves_the_fewest_bytes():
             assert sum(b.end - b.start for b in plan if b.new == j) == size
         moved = sum(b.end - b.start for b in plan if b.new != b.old)
         assert moved == sum(max(0, size - (new[i] if i < len(new) else 0)) for i, size in enumerate(old))
+        assert moved == plain.fewest_moved(old, new)
+
+
+def test_a_hundred_thousand_shards_are_planned_at_once():
+    rng = random.Random(4)
+    old = [rng.randint(0, 10**9) for _ in range(60_000)]
+    new = op1_reshard.even_capacities(sum(old), 100_000)
+    plan = op1_reshard.blocks(old, new)
+    pieces = op1_reshard.cut_rows(plan)
+    assert len(plan) <= len(old) + len(new) and len(pieces) <= 3 * len(plan)
+    assert sum(b.end - b.start for b in plan) == sum(old)
+
+
+def test_documents_go_where_their_middle_byte_falls(spark):
+    rng = random.Random(5)
+    docs = [(k, "x" * rng.randint(0, 300), rng.choice(["a", "a", "a", "b", None])) for k in range(3000)]
+    docs += [(k, None, "a") for k in range(5)] + docs[:3]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({n: F.lit(1) for n in plain.CLASHING})
+    placed, plan = op1_reshard.reshard(df, F.col("source"), 400)
+    rows = placed.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(d for d, *_ in docs)
+    for old in range(3):
+        own = sorted((b.start, b.end, b.new) for b in plan if b.old == old)
+        held = {new: 0 for *_, new in own}
+        for r in rows:
+            if r["old"] == old:
+                held[r["shard"]] += r["size"]
+        # A shard starts within a document of where its block does, so sizes differ from the block's by two half documents.
+        assert all(abs(held[new] - sum(e - s for s, e, j in own if j == new)) <= 316 for new in held)
 
 
 def test_shards_are_whole_and_even(spark, testdata, documents):
@@ -325,6 +354,23 @@ def test_repeated_bytes_equal_those_of_a_plain_search(spark, monkeypatch, docume
     assert got == plain.without_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("group", [3, 20_000])
+def test_texts_that_share_an_id_lose_only_what_they_repeat(spark, monkeypatch, group):
+    monkeypatch.setattr(op9_suffix_dedup, "GROUP", group)
+    rng = random.Random(8)
+
+    def own(n: int) -> str:
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    shared, other, bare = own(350), own(350), own(350)
+    rows = [(0, shared), (1, own(50) + shared), (1, other), (2, other[:200]), (None, bare), (None, own(400)), (None, own(9) + bare), (1, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in op9_suffix_dedup.remove_repeats(df).collect())
+    assert found[:4] == [("0", 350, 0), ("1", 350, 0), ("1", 350, 0), ("1", 400, 350)] and found[4] == ("2", 200, 200)
+    # Of two texts without an id that share a string, one has it removed; the third is left alone.
+    assert found[7] == ("None", 400, 0) and found[5][2] + found[6][2] == 350
+
+
 def test_repeated_passages_of_few_sentences_and_rows_that_share_an_id(spark):
     def sentence(start: int, words: int) -> str:
         return " ".join(f"w{k}" for k in range(start, start + words)) + "."
