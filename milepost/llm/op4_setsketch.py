@@ -5,10 +5,11 @@ distributed values over the set. Registers of a union are the larger ones, so sk
 a register with about their Jaccard similarity. Bands of registers propose pairs; a joint likelihood of the numbers of
 larger, smaller and equal registers drops pairs that are clearly less similar; the rest is confirmed on the full sets.
 
-Documents with equal sets are one node. In a band's bucket every node is first paired with the smallest one. The links found
+Documents with equal sets are one node; nodes are numbered in the order of their smallest ids. In a band's bucket every node is first paired with the smallest one. The links found
 give components. Only nodes of buckets that still hold several components are looked at again: their shingles are ordered by
 rarity, and since a link leaves few shingles out, two linked nodes share one among the rarest of both. Pairs that share such
-a shingle early enough, from different components, are verified as well. A large group of copies thus costs a pair per copy,
+a shingle early enough, from different components, are verified as well; the smaller set of a pair is found by fewer of its
+shingles than the larger, so that pages which share a template, but too little of it, are not all paired. A large group of copies thus costs a pair per copy,
 not per pair of copies, and no link between components is left out.
 """
 
@@ -99,7 +100,7 @@ def estimate(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2: np.ndarr
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set (two longs), and the registers as bytes (null for an empty set)."""
+    """doc_id, text_key, n_shingles, a 128-bit key of the set (two longs), and the registers as bytes (null for an empty set)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,32 +112,44 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                 keys = np.array([[s.sum(dtype=np.uint64), vectors.mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(start, end - start),
+                        *(batch.column(c).slice(start, end - start) for c in ("doc_id", "text_key")),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys[:, 0]),
                         pa.array(keys[:, 1]),
                         pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "key1", "key2", "registers"],
+                    ["doc_id", "text_key", "n_shingles", "key1", "key2", "registers"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketched, "doc_id long, n_shingles long, key1 long, key2 long, registers binary"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        sketched, "doc_id long, text_key long, n_shingles long, key1 long, key2 long, registers binary"
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Each different set of `rows` (sketches) with a number, node, and the document it is named by.
+
+    That is the one of smallest id, then text_key; documents without an id come last. Nodes are numbered in the same order,
+    so the smallest node of a component has its smallest id, also where one id stands on several texts.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_key")).alias("first")
+    same = rows.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(first, F.min("registers").alias("registers"))
+    ordered = same.select("key1", "key2", "n_shingles", "first.*", "registers").orderBy("bare", "doc_id", "text_key", "key1", "key2")
+    return ordered.withColumn("node", F.monotonically_increasing_id()).drop("bare")
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
     """node, bucket, its smallest node and its number of nodes, for the buckets that hold at least two nodes."""
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)) for b in range(BANDS)])
-    # Dealt once for both the aggregation and the join, as hardly any two rows of a task share a bucket.
-    rows = nodes.select("node", F.explode(bands).alias("bucket")).repartition("bucket")
+    rows = nodes.select("node", F.explode(bands).alias("bucket"))
+    # Aggregated before the shuffle, and a bucket of very many nodes is split in the join.
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("held")).where("held > 1")
     return rows.join(shared, "bucket")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """node and its whole set as bytes, for the ids in `wanted`. Each node's text is that of one document."""
+    """node and its whole set as bytes, for the rows of `wanted`: node, doc_id and text_key of the document it is named by."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,12 +157,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             for start, end in vectors.text_batches(texts):
                 own = [s.tobytes() for s in shingle_sets(texts[start:end], rule.words)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, end - start), pa.array(own, pa.binary())], ["node", "shingles"]
+                    [batch.column("node").slice(start, end - start), pa.array(own, pa.binary())], ["node", "shingles"]
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     # Shuffled at every size, so that the plan and its cost do not change with the number of ids.
-    chosen = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    is_named = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
+    chosen = texts.join(wanted.hint("merge"), is_named).select("node", "text")
     return chosen.mapInArrow(whole, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
@@ -239,7 +253,8 @@ def remaining_pairs(open_sets: DataFrame, rule: Rule) -> DataFrame:
 
     With 100 I >= p U, that is (100 + p) I >= p (n1 + n2), two sets whose first common shingle, in an order of all shingles,
     stands at i and j can have at most 1 + min(n1 - i, n2 - j) - 1 in common. The order is by rarity; a shingle of one node
-    only stands in front and needs no row.
+    only stands in front and needs no row. The smaller set of a pair has 2 p n / (100 + p) in common with the other one at
+    least, the larger one p n / 100; so a row that stands too late for the first bound is only met by rows of smaller sets.
     """
     p = rule.percent
     rows = shingle_rows(open_sets)
@@ -253,28 +268,28 @@ def remaining_pairs(open_sets: DataFrame, rule: Rule) -> DataFrame:
     # The other set has p percent of this one's size at least.
     early = early.where(F.col("crosses") & (100 * (F.col("n") - F.col("at")) >= p * F.col("n"))).drop("crosses")
     names = ["node", "component", "n", "at"]
-    first, second = (early.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 2))
+    # First is the smaller set of a pair, of equally large ones that of the smaller node.
+    small = early.where((100 + p) * (F.col("n") - F.col("at")) >= 2 * p * F.col("n"))
+    first, second = (df.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in names]) for k, df in ((1, small), (2, early)))
     most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     fits = (100 + p) * most >= p * (F.col("n1") + F.col("n2"))
-    pairs = first.join(second, "shingle").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & fits)
-    return pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    pairs = first.join(second, "shingle").where(smaller & (F.col("component1") != F.col("component2")) & fits)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
+def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """One row per row of `docs`: doc_id, text_key, n_shingles, component_id, and `stays`.
 
-    A text without words links with nothing. Rows that share an id but differ in text are nodes of their own as far as
-    their sets differ, yet their component is named by ids. A row without an id joins the component of its text, which is
-    null if no row of it has an id. Other columns than doc_id and text are not read.
+    A row stays if its text has no words or if the component is named by its id and text.
     """
     rows = stored(sketches(docs, rule), "sketches")
-    same = rows.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("registers").alias("registers"))
-    same = stored(same, "nodes")
-    nodes = same.where("node IS NOT NULL").groupBy("node").agg(F.max(F.struct("n_shingles", "registers")).alias("x")).select("node", "x.*")
+    nodes = stored(numbered(rows), "nodes")
     found = stored(buckets(nodes), "buckets")
     stars = found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(plausible(stars, nodes, rule), "stars")
-    sets = stored(sets_of(docs, found, rule), "sets")
+    named = nodes.select("node", "doc_id", "text_key")
+    sets = stored(sets_of(docs, named.join(found.select("node").distinct(), "node"), rule), "sets")
     links = stored(confirmed(stars, sets, rule), "links")
     labels = components(links)
     more = remaining_pairs(sets.join(pending(found, labels), "node"), rule)
@@ -282,26 +297,38 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     added = stored(confirmed(more, sets, rule), "links")
     if added.limit(1).count():
         labels = components(links.union(added))
-    named = same.join(labels, "node", "left").select(
-        F.col("key1").alias("_key1"), F.col("key2").alias("_key2"), F.col("n_shingles").alias("_n"), F.coalesce("component", "node").alias("_component")
-    )
-    full = rows.select("doc_id", "n_shingles", "key1", "key2").join(
-        named, (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")) & (F.col("n_shingles") == F.col("_n")), "left"
-    )
-    own = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
-    return full.select("doc_id", "n_shingles", own.alias("component_id"))
+    keys = ["key1", "key2", "n_shingles"]
+    members = nodes.select(*keys, "node").join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
+    heads = named.select(F.col("node").alias("component"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    full = rows.select("doc_id", "text_key", *keys).join(members.join(heads, "component"), keys, "left")
+    bare = F.col("n_shingles") == 0
+    is_head = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
+    own = F.when(bare, F.col("doc_id")).otherwise(F.col("_id"))
+    return full.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), (bare | is_head).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
+
+    A text without words links with nothing. Rows that share an id but differ in text are nodes of their own as far as
+    their sets differ, yet their component is named by ids. A row without an id links as others do; a component without
+    any id has a null one. Equal rows get equal results. Other columns than doc_id and text are not read.
+    """
+    return grouped(docs, rule).select("doc_id", "n_shingles", "component_id")
 
 
 def without_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of `docs`, all columns, that are the smallest id of their component; of repeated rows one stays.
+    """The rows of `docs`, all columns, that name their component: smallest id, then text_key; of equal ones one stays.
 
-    Rows without an id or without words stay, unless another row is equal in id and text.
+    Rows without words stay, unless another row is equal in id and text. Rows are told apart by id and text: a text goes
+    or stays whatever happens to another text of its id.
     """
-    found = stored(near_duplicates(docs, rule), "components")
-    name = free_name(docs, "_gone")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    found = stored(grouped(docs, rule), "components")
+    id_name, key_name = free_name(docs, "_gone"), free_name(docs, "_gone_key")
+    gone = found.where(~F.col("stays")).select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)).distinct()
+    is_gone = docs["doc_id"].eqNullSafe(gone[id_name]) & (F.xxhash64(docs["text"]) == gone[key_name])
+    left = docs.join(gone, is_gone, "left_anti")
+    repeated = found.where("stays").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
 
 

@@ -354,6 +354,44 @@ def test_repeated_bytes_equal_those_of_a_plain_search(spark, monkeypatch, docume
     assert got == plain.without_repeats(rows, 100)
 
 
+def test_near_copies_among_texts_that_share_an_id(spark):
+    def words(k: int, n: int = 40) -> str:
+        return " ".join(f"w{j}" for j in range(k, k + n))
+
+    rows = [
+        (3, words(0)), (5, words(0) + " end"), (5, words(1000)), (5, words(1000) + " end"), (6, words(2000)),
+        (None, words(2000) + " end"), (None, words(3000)), (None, words(3000) + " end"), (None, words(4000)), (7, words(1000).upper()),
+        (2, words(5000, 60)), (2, words(5000, 60)), (1, "end " + words(5000, 60)), (None, None), (None, ""), (9, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({name: F.lit(1) for name in plain.CLASHING})
+    found = op4_setsketch.near_duplicates(docs, op4_setsketch.Rule(5, 80)).select("doc_id", "n_shingles", "component_id")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    expected = [
+        (3, 36, 3), (5, 37, 3), (5, 36, 5), (5, 37, 5), (6, 36, 6), (None, 37, 6), (None, 36, None), (None, 37, None), (None, 36, None),
+        (7, 36, 5), (2, 56, 1), (2, 56, 1), (1, 57, 1), (None, 0, None), (None, 0, None), (9, 0, 9),
+    ]
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(expected, key=key)
+    left = op4_setsketch.without_copies(docs)
+    assert left.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert (3, words(0)) in kept and (6, words(2000)) in kept and (None, words(4000)) in kept
+    assert {(None, None), (None, ""), (9, None), (1, "end " + words(5000, 60))} <= set(kept)
+    # One of the two texts of id 5 that are near copies stays, and one of the two without an id.
+    assert [d for d, t in kept if t and t.startswith("w1000 ")] == [5] and len(kept) == 9
+    assert [d for d, t in kept if t and t.startswith("w3000 ")] == [None]
+
+
+def test_pages_of_one_template_are_not_all_paired(spark):
+    # 15 % of their shingles are their own: less alike than the threshold, yet each shares the template with all.
+    rng = np.random.default_rng(4)
+    template = rng.integers(0, 2**62, 400)
+    sets = [(k, k, np.concatenate([template, rng.integers(0, 2**62, 70)]).tobytes()) for k in range(300)]
+    alike = [(k + 1000, k + 1000, np.concatenate([template, np.frombuffer(sets[k][2], np.int64)[400:450], rng.integers(0, 2**62, 20)]).tobytes()) for k in range(5)]
+    df = spark.createDataFrame(sets + alike, "node long, component long, shingles binary")
+    pairs = {(r["a"], r["b"]) for r in op4_setsketch.remaining_pairs(df, op4_setsketch.Rule()).collect()}
+    assert pairs == {(k, k + 1000) for k in range(5)}
+
+
 @pytest.mark.parametrize("group", [3, 20_000])
 def test_texts_that_share_an_id_lose_only_what_they_repeat(spark, monkeypatch, group):
     monkeypatch.setattr(op9_suffix_dedup, "GROUP", group)
