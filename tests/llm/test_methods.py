@@ -115,6 +115,35 @@ def test_unaffected_shards_are_not_rewritten(spark, tmp_path):
     assert op1_reshard.rewrite(placed, plan, f"{tmp_path}/four").where("old <> shard").count() == 3
 
 
+def test_scores_equal_a_sum_over_all_pairs():
+    rng = np.random.default_rng(6)
+    slots, n = 12, 30
+    machine = op2_toxicity.Machine(np.arange(slots), -0.4, rng.normal(0, 0.5, slots), rng.normal(0, 0.6, (slots, op2_toxicity.FACTORS)))
+    held = [np.flatnonzero(rng.random(slots) < 0.4) for _ in range(n)] + [np.zeros(0, np.int64)]
+    got = machine.scores(np.repeat(np.arange(n + 1), [len(h) for h in held]), np.concatenate(held), n + 1)
+    for h, score in zip(held, got, strict=True):
+        raw = machine.bias + sum(machine.weights[i] for i in h)
+        raw += sum(machine.factors[i] @ machine.factors[j] for a, i in enumerate(h) for j in h[a + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
+def test_documents_are_scored_as_their_terms_are(spark, documents):
+    rng = np.random.default_rng(7)
+    slot_of = np.full(op2_toxicity.BUCKETS, -1, np.int32)
+    known = np.unique(np.concatenate([b for _, b in op2_toxicity.buckets_of([t for _, t in documents[:5]])]))[:40]
+    slot_of[known] = np.arange(len(known))
+    machine = op2_toxicity.Machine(slot_of, 0.1, rng.normal(0, 0.3, len(known)), rng.normal(0, 0.3, (len(known), op2_toxicity.FACTORS)))
+    rows = [*documents[:40], (documents[0][0], documents[0][1]), (10**6, None), (10**6 + 1, "")]
+    found = op2_toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), machine).collect()
+    texts = dict(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        own = sorted({int(slot_of[b]) for _, bs in op2_toxicity.buckets_of([texts[r["doc_id"]]]) for b in bs} - {-1})
+        raw = machine.bias + sum(machine.weights[i] for i in own)
+        raw += sum(machine.factors[i] @ machine.factors[j] for a, i in enumerate(own) for j in own[a + 1 :])
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
 def test_machine_learns_pairs():
     rng = np.random.default_rng(5)
     rows = rng.integers(0, 2, (3000, 2))
