@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-A text is cut into pieces of the vocabulary with the largest sum of scores. The search goes forward one character at a time
-and keeps only what a piece of the longest length can still reach. The backpointer paths that survive all pass through one
-boundary some way back; ids up to it are final and are given out, so memory does not grow with the text.
+A text is cut into the pieces of the vocabulary with the largest product of probabilities. The search goes forward one
+character at a time; an automaton of all pieces names those that end there, and only the sums of the last boundaries, as many as the longest
+piece has characters, are kept for them. The paths that survive all pass through one boundary some way back; ids up to it are
+final and are given out. Behind the window a boundary that is not final yet takes one byte, the length of the piece before it.
 
 Between two characters that no piece holds side by side every path has a boundary. White space nearly always begins such a
-place, so a word's ids do not depend on its neighbours; each worker remembers those of the words it has met.
+place: the stretch up to it is final there and does not depend on what comes next, so each worker remembers the ids of the
+stretches it has met. Remembering changes no ids.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,33 +30,44 @@ from milepost.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Log probabilities are whole numbers of this many to one, so that their sums are exact in any length of text.
+UNIT = 1_000_000
 #: A character that no piece covers is spelt as bytes; it costs so much more than the worst piece.
-PENALTY = 10.0
-#: A worker remembers the words met last, between one and two times so many, none longer than so many characters.
+PENALTY = 10 * UNIT
+#: A worker remembers the stretches met last, between one and two times so many, none longer than so many characters.
 MEMORY, MEMORY_CHARS = 400_000, 48
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, int]:
+    """Log probability of each piece by Zipf's law: the r-th best score has a share of 1/r.
+
+    The scores of a merge vocabulary are no log probabilities but the order of its merges, the most frequent first. Equal
+    scores go by the piece.
+    """
+    share = math.log(sum(1 / r for r in range(1, len(scores) + 1))) if scores else 0.0
+    best_first = sorted(scores, key=lambda piece: (-scores[piece], piece))
+    return {piece: -round(UNIT * (math.log(r) + share)) for r, piece in enumerate(best_first, 1)}
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """ids and scores of the ordinary pieces, ids of the 256 byte pieces, and the bytes that each id stands for."""
 
-    pieces: dict[str, tuple[int, float]]
+    pieces: dict[str, tuple[int, int]]
     byte_ids: tuple[int, ...]
     spelling: tuple[bytes, ...]
-    #: For every beginning of a piece the piece's id and score, or None if it is none itself.
-    starts: dict[str, tuple[int, float] | None]
     #: The longest piece's length, the score of a character that no piece covers, and a digest of pieces and scores.
     longest: int
-    unknown: float
+    unknown: int
     digest: int
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
-        """Reads a model's pieces and scores; the search itself is ours."""
+        """Reads a model's pieces and the order of their scores; the search itself is ours."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces, byte_ids, spelling = {}, {}, []
+        ids, scores, byte_ids, spelling = {}, {}, {}, []
         for i in range(model.get_piece_size()):
             text = model.id_to_piece(i)
             if model.is_byte(i):
@@ -60,18 +76,26 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 spelling.append(b"")
             else:
-                pieces[text] = (i, model.get_score(i))
+                ids[text], scores[text] = i, model.get_score(i)
                 spelling.append(text.replace(SPACE, " ").encode())
-        return Vocabulary.of(pieces, [byte_ids[b] for b in range(256)], spelling)
+        shares = log_probabilities(scores)
+        return Vocabulary.of({p: (ids[p], shares[p]) for p in ids}, [byte_ids[b] for b in range(256)], spelling)
 
     @staticmethod
-    def of(pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelling: list[bytes]) -> Vocabulary:
-        starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), None) | pieces
-        unknown = min((s for _, s in pieces.values()), default=0.0) - PENALTY
+    def of(pieces: dict[str, tuple[int, int]], byte_ids: list[int], spelling: list[bytes]) -> Vocabulary:
+        unknown = min((s for _, s in pieces.values()), default=0) - PENALTY
         digest = zlib.crc32(repr(sorted(pieces.items())).encode())
-        return Vocabulary(pieces, tuple(byte_ids), tuple(spelling), starts, max(map(len, pieces), default=1), unknown, digest)
+        return Vocabulary(pieces, tuple(byte_ids), tuple(spelling), max(map(len, pieces), default=1), unknown, digest)
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """Names, for each character of a text, the pieces that end there by length and score, the longest first."""
+        found = ahocorasick.Automaton()
+        for piece, (_, score) in self.pieces.items():
+            found.add_word(piece, (len(piece), score))
+        found.make_automaton()
+        return found
 
-    def words_stand_alone(self) -> bool:
+    def stretches_stand_alone(self) -> bool:
         """Whether no piece has the space mark after another character, or a line end beside any."""
         return not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.DOTALL) for p in self.pieces)
 
@@ -80,93 +104,95 @@ def _bytes_of(char: str, v: Vocabulary) -> list[int]:
     return [v.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
-def search(text: str, v: Vocabulary) -> list[int]:
-    """Ids of a short text, with all its paths kept to the end; the same as stream() gives."""
-    n, longest, find = len(text), v.longest, v.starts.get
-    best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-    for i in range(n):
-        so_far = best[i]
-        if text[i] not in v.pieces and best[i + 1] < so_far + v.unknown:
-            best[i + 1], back[i + 1] = so_far + v.unknown, (i, -1)
-        for j in range(i + 1, min(n, i + longest) + 1):
-            known = find(text[i:j], 0)
-            if known == 0:
-                break
-            if known and best[j] < so_far + known[1]:
-                best[j], back[j] = so_far + known[1], (i, known[0])
-    own, at = [], n
-    while at:
-        start, found = back[at]
-        own.extend(reversed(_bytes_of(text[start:at], v)) if found < 0 else (found,))
-        at = start
-    return own[::-1]
-
+class Stream:
+    """The search on one text, spaces already replaced by the space mark. Ties go to the piece that begins first."""
+
+    def __init__(self, text: str, v: Vocabulary, automaton: ahocorasick.Automaton, every: int | None = None):
+        self.text, self.v, self.automaton = text, v, automaton
+        #: After so many characters the surviving paths are followed back.
+        self.every = every or 4 * v.longest
+        #: Sums of the best paths to the last boundaries.
+        self.sums = [0]
+        #: Length of the last piece of the best path to each boundary after `done`, 0 for a character spelt as bytes.
+        self.lengths, self.done = bytearray(), 0
+
+    def _ids(self, upto: int) -> list[int]:
+        """Makes the best path to a boundary final."""
+        own, at, text, pieces = [], upto, self.text, self.v.pieces
+        while at > self.done:
+            size = self.lengths[at - self.done - 1]
+            if size:
+                own.append(pieces[text[at - size : at]][0])
+            else:
+                own.extend(reversed(_bytes_of(text[at - 1], self.v)))
+            at -= size or 1
+        del self.lengths[: upto - self.done]
+        self.done = upto
+        return own[::-1]
 
-def stream(text: str, v: Vocabulary, every: int | None = None) -> Iterator[int]:
-    """Ids of a text, spaces already replaced by the space mark. Ties go to the piece that begins first.
+    def _common(self) -> int:
+        """The last boundary of all paths that a further piece can go on from."""
+        at = self.done + len(self.lengths)
+        alive = list(range(max(self.done, at - self.v.longest + 1), at + 1))
+        while len(alive) > 1 and alive[-1] > self.done:
+            last = alive.pop()
+            before = last - (self.lengths[last - self.done - 1] or 1)
+            if before not in alive:
+                alive.append(before)
+                alive.sort()
+        return alive[0]
+
+    def ids(self) -> Iterator[int]:
+        """Ids as they become final."""
+        sums, lengths, unknown, longest = self.sums, self.lengths, self.v.unknown, self.v.longest
+        at, first, trim, check, top = 0, 0, self.every, self.every, 0
+        n = len(self.text)
+        end_of_text = [(n - 1, (1, unknown))] if n else []
+        for end, (size, score) in chain(self.automaton.iter(self.text), end_of_text):
+            while at <= end:
+                if at >= trim:
+                    if at >= check:
+                        yield from self._ids(self._common())
+                        check = at + max(self.every, len(lengths))
+                    del sums[:-longest]
+                    first, trim = at + 1 - len(sums), at + self.every
+                top += unknown  # spelt as bytes, until a piece does better
+                sums.append(top)
+                lengths.append(0)
+                at += 1
+            through = sums[end + 1 - size - first] + score
+            if through > top:
+                sums[-1] = top = through
+                lengths[-1] = size
+        yield from self._ids(n)
 
-    After each `every` characters (four times the longest piece by default) the surviving paths are followed back.
-    """
-    longest, unknown = v.longest, v.unknown
-    every = every or 4 * longest
-    best, back, done = {0: 0.0}, {}, 0
-    n, pieces, find = len(text), v.pieces, v.starts.get
-
-    def ids(upto: int) -> list[int]:
-        own, at = [], upto
-        while at > done:
-            start, found = back[at]
-            own.extend(reversed(_bytes_of(text[start:at], v)) if found < 0 else (found,))
-            at = start
-        return own[::-1]
 
-    for i in range(n):
-        so_far = best.pop(i)
-        if text[i] not in pieces and best.get(i + 1, -np.inf) < so_far + unknown:
-            best[i + 1], back[i + 1] = so_far + unknown, (i, -1)
-        for j in range(i + 1, min(n, i + longest) + 1):
-            known = find(text[i:j], 0)
-            if known == 0:
-                break
-            if known and best.get(j, -np.inf) < so_far + known[1]:
-                best[j], back[j] = so_far + known[1], (i, known[0])
-        if (i + 1) % every == 0 and i + 1 < n:
-            alive = set(best)
-            while len(alive) > 1:
-                last = max(alive)
-                alive.remove(last)
-                alive.add(back[last][0] if last > done else done)
-            common = alive.pop()
-            if common > done:
-                yield from ids(common)
-                done = common
-                back = {k: x for k, x in back.items() if k > done}
-            top = max(best.values())  # so that sums stay small, and exact for whole scores, in any length of text
-            best = {k: x - top for k, x in best.items()}
-    yield from ids(n)
+def stream(text: str, v: Vocabulary, every: int | None = None) -> Iterator[int]:
+    """Ids of a text, spaces already replaced by the space mark."""
+    return Stream(text, v, v.automaton(), every).ids()
 
 
 class Encoder(dict):
-    """Packed ids by word; words not met lately are searched."""
+    """Packed ids by stretch; those not met lately are searched."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v = v
+        self.v, self.automaton = v, v.automaton()
         self.before: dict[str, bytes] = {}
-        self.words = re.compile(f"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if v.words_stand_alone() else r"[\s\S]+")
+        alone = v.stretches_stand_alone()
+        self.stretches = re.compile(f"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if alone else r"[\s\S]+")
         self.mark = array("i", [v.byte_ids[b] for b in SPACE.encode()]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        packed = self.before.get(word)
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self.before.get(stretch)
         if packed is None:
-            short = len(word) <= MEMORY_CHARS
-            packed = array("i", search(word, self.v) if short else stream(word, self.v)).tobytes()
-            if not short:
+            packed = array("i", Stream(stretch, self.v, self.automaton).ids()).tobytes()
+            if len(stretch) > MEMORY_CHARS:
                 return packed
         if len(self) >= MEMORY:
             self.before = dict(self)
             self.clear()
-        self[word] = packed
+        self[stretch] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -174,7 +200,7 @@ class Encoder(dict):
         if not text:
             return b""
         parts = (" " + text).split(SPACE)
-        return self.mark.join(b"".join(map(self.__getitem__, self.words.findall(p.replace(" ", SPACE)))) for p in parts)
+        return self.mark.join(b"".join(map(self.__getitem__, self.stretches.findall(p.replace(" ", SPACE)))) for p in parts)
 
 
 #: The encoder of this worker, kept from task to task.

@@ -168,7 +168,7 @@ def test_toxicity_on_held_out_rows(spark, testdata):
 
 
 def _viterbi(text: str, v: op3_sentencepiece.Vocabulary) -> list[int]:
-    best, back = [0.0] + [-1e18] * len(text), [(0, [])] * (len(text) + 1)
+    best, back = [0] + [-(10**18)] * len(text), [(0, [])] * (len(text) + 1)
     for end in range(1, len(text) + 1):
         for start in range(max(0, end - v.longest), end):
             known = v.pieces.get(text[start:end])
@@ -188,12 +188,61 @@ def test_streaming_search_equals_the_whole_one(documents):
     for text in [t[:2000] for _, t in documents[:25]] + ["日本語 🙂 é", "aaaa" * 200, "  a  b\n\n c "]:
         marked = (" " + text).replace(" ", "▁")
         ids = np.frombuffer(encoder.encode(text), np.int32)
-        assert ids.tolist() == _viterbi(marked, v) == list(op3_sentencepiece.stream(marked, v, 3)) == op3_sentencepiece.search(marked, v)
+        assert ids.tolist() == _viterbi(marked, v) == list(op3_sentencepiece.stream(marked, v, 3))
         assert op3_sentencepiece.decode(ids, v) == text
     for text in ("▁", "a▁ b", "<s><0x0A>", "\x00\t"):
         assert op3_sentencepiece.decode(np.frombuffer(encoder.encode(text), np.int32), v) == text
 
 
+def _letters(scores: dict[str, int]) -> op3_sentencepiece.Vocabulary:
+    pieces = {piece: (256 + i, score) for i, (piece, score) in enumerate(scores.items())}
+    return op3_sentencepiece.Vocabulary.of(pieces, list(range(256)), [bytes([b]) for b in range(256)] + [p.encode() for p in pieces])
+
+
+def test_streaming_search_keeps_a_window(documents):
+    """Sums never outgrow the window; lengths go as soon as the paths converge, here only where a `b` stands."""
+    v = op3_sentencepiece.Vocabulary.load()
+    text = "".join(t for _, t in documents[:200])[:40_000].replace(" ", "") + "\x01\u0378" * 500
+    late = _letters({"aa": -3, "aab": -1, "ab": -9, "b": -9, "a": -9})
+    rng = random.Random(3)
+    runs = "".join("a" * rng.randint(1, 400) + "b" for _ in range(400))
+    for words, vocabulary, held in ((text, v, 4 * 64 + 16), (runs, late, 2000)):
+        search = op3_sentencepiece.Stream(words, vocabulary, vocabulary.automaton())
+        found, most = [], 0
+        for i in search.ids():
+            found.append(i)
+            most = max(most, len(search.lengths))
+            assert len(search.sums) <= search.every + vocabulary.longest
+        assert most <= held
+        assert found == _viterbi(words, vocabulary)
+
+
+def test_paths_that_never_converge():
+    """Then the lengths stay, one byte a character, and following the paths back takes linear time in all."""
+    v = _letters({"aa": -3, "a": -9, "aab": -1})
+    for size in (40_000, 40_001):
+        found = list(op3_sentencepiece.stream("a" * size, v))
+        assert found == _viterbi("a" * size, v)
+
+
+def test_probabilities_follow_the_order_of_scores():
+    found = op3_sentencepiece.log_probabilities({"c": -1e9, "a": -2.0, "b": 0.0, "d": -2.0})
+    assert sorted(found, key=lambda p: -found[p]) == ["b", "a", "d", "c"]
+    assert abs(sum(np.exp(x / op3_sentencepiece.UNIT) for x in found.values()) - 1) < 1e-5
+    assert op3_sentencepiece.log_probabilities({}) == {}
+
+
+def test_ids_are_about_as_many_as_the_model_gives(documents):
+    import sentencepiece
+
+    v = op3_sentencepiece.Vocabulary.load()
+    encoder = op3_sentencepiece.Encoder(v)
+    model = sentencepiece.SentencePieceProcessor(model_file=op3_sentencepiece.MODEL)
+    texts = [t for _, t in documents[:200]]
+    own = sum(len(encoder.encode(t)) // 4 for t in texts)
+    assert own <= 1.03 * sum(len(ids) for ids in model.encode(texts))
+
+
 @pytest.mark.parametrize(("words", "percent"), [(4, 80), (5, 80), (2, 60)])
 def test_components_equal_those_of_all_pairs(spark, documents, words, percent):
     rng = random.Random(words)
