@@ -119,6 +119,22 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.join(texts, "key").select(*places, window.alias("window"))
 
 
+def _document(docs: DataFrame) -> Column:
+    """Tells apart texts that share an id, or have none."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def _scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key, item_id, score and shift of each alignment that reaches the score; `key` is that of _document."""
+    items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
+    items = items.select("item_id", word_hashes(F.col("item_text")).alias("words"))
+    rows = docs.select("doc_id", _document(docs).alias("key"), word_hashes(docs["text"]).alias("words"))
+    named = items.select(F.col("item_id").alias("_item"), F.col("words").alias("item"))
+    hits = alignments(rows, items).join(named, F.col("item_id").eqNullSafe(F.col("_item")))
+    hits = hits.withColumn("score", best_stretch("item", "window", F.col("shift")))
+    return hits.where((F.col("score") >= MIN_SCORE) | (100 * F.col("score") >= MIN_SHARE * F.size("item")))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, shift (word of the document on which the item's first one lies) of each contaminated pair.
 
@@ -126,22 +142,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found where all their words stand in a row; longer ones in documents of SPAN words or more. Empty or null texts take part
     in no pair. Rows alike in doc_id and text are one document. Only doc_id, item_id and the texts are read.
     """
-    items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
-    items = items.select("item_id", word_hashes(F.col("item_text")).alias("words"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("words"))
-    named = items.select(F.col("item_id").alias("_item"), F.col("words").alias("item"))
-    hits = alignments(rows, items).join(named, F.col("item_id").eqNullSafe(F.col("_item")))
-    hits = hits.withColumn("score", best_stretch("item", "window", F.col("shift")))
-    found = hits.where((F.col("score") >= MIN_SCORE) | (100 * F.col("score") >= MIN_SHARE * F.size("item")))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("best"))
+    best = _scored(docs, benchmark).groupBy("doc_id", "item_id")
+    best = best.agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").cast("long").alias("score"), (-F.col("best.back")).cast("long").alias("shift"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that overlap no benchmark item. A null doc_id is kept only if no such row overlaps."""
-    name = free_name(docs, "_bad")
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
+    """The documents, all columns, that overlap no benchmark item.
+
+    A text goes or stays for its own words only: other texts of its id, or others without an id, do not matter.
+    """
+    name, key = free_name(docs, "_bad"), free_name(docs, "_bad_key")
+    bad = _scored(docs, benchmark).select(F.col("doc_id").alias(name), F.col("key").alias(key)).distinct()
+    same = docs["doc_id"].eqNullSafe(bad[name]) & (_document(docs) == bad[key])
+    return docs.join(bad, same, "left_anti")
 
 
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

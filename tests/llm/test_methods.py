@@ -367,6 +367,31 @@ def test_phrases_equal_a_plain_parse():
             assert counts[k].tolist() == [_phrases(own, samples[x]) for x in automata.languages], text
 
 
+@pytest.mark.parametrize("size", [op7_language.BLOCK - 1, op7_language.BLOCK, op7_language.BLOCK + 1, 5 * op7_language.BLOCK + 7])
+def test_a_block_begins_a_phrase(size):
+    rng = random.Random(size)
+    samples = {x: op7_language.normalised("".join(rng.choice(own) for _ in range(400))) for x, own in (("a", "ab "), ("b", "bcd "))}
+    automata = op7_language.build(samples)
+    text = "".join(rng.choice("abcd") for _ in range(size))
+    blocks = [text[k : k + op7_language.BLOCK] for k in range(0, size, op7_language.BLOCK)]
+    counts, sizes, _ = op7_language.phrases([text, text[:40]], automata)
+    assert sizes[0] == size
+    assert counts[0].tolist() == [sum(_phrases(b, samples[x]) for b in blocks) for x in automata.languages]
+    # One phrase more for each border at most.
+    whole = [_phrases_unbounded(text, samples[x]) for x in automata.languages]
+    assert all(0 <= c - w < len(blocks) for c, w in zip(counts[0].tolist(), whole))
+
+
+def _phrases_unbounded(text: str, sample: str) -> int:
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in sample:
+            end += 1
+        at, count = end, count + 1
+    return count
+
+
 @pytest.mark.parametrize("dense", [0, 1 << 23])
 def test_languages_of_many_letters_are_told_apart(monkeypatch, dense):
     monkeypatch.setattr(op7_language, "DENSE", dense)

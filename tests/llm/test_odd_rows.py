@@ -83,6 +83,19 @@ def test_contamination(spark):
     assert left.columns == docs.columns and left.count() == docs.count() - 1
 
 
+def test_only_the_contaminated_text_of_an_id_goes(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, f"before {item} after"), (1, "clean text"), (None, item), (None, "clean too"), (None, None), (2, "clean")]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    docs = docs.withColumns({name: F.lit(1) for name in plain.CLASHING + ["_bad_key"]})
+    items = spark.createDataFrame([(5, item), (6, None)], "item_id long, text string")
+    left = op6_spaced_seeds.decontaminate(docs, items)
+    assert left.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], rows[1], rows[3], rows[4], rows[5]], key=str)
+    assert {(r["doc_id"], r["item_id"]) for r in op6_spaced_seeds.overlaps(docs, items).collect()} == {(1, 5), (None, 5)}
+
+
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     docs = odd_documents(spark)
     _items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
