@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 A text is cut into the pieces of the vocabulary with the largest product of probabilities. The search goes forward one
-character at a time; an automaton of all pieces names those that end there, and only the sums of the last boundaries, as many as the longest
-piece has characters, are kept for them. The paths that survive all pass through one boundary some way back; ids up to it are
-final and are given out. Behind the window a boundary that is not final yet takes one byte, the length of the piece before it.
+character at a time; an automaton of all pieces names those that end there. Only the sums of the last boundaries are kept for
+them, a few times as many as the longest piece has characters. The paths that survive all pass through one boundary some way
+back; ids up to it are final and are given out. Behind the window a boundary that is not final yet takes one byte, the length
+of the piece before it.
 
 Between two characters that no piece holds side by side every path has a boundary. White space nearly always begins such a
 place: the stretch up to it is final there and does not depend on what comes next, so each worker remembers the ids of the
