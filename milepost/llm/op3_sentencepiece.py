@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milepost.llm.common import table
+from milepost.llm.common import kept, lean, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -204,14 +204,11 @@ class Encoder(dict):
         return self.mark.join(b"".join(map(self.__getitem__, self.stretches.findall(p.replace(" ", SPACE)))) for p in parts)
 
 
-#: The encoder of this worker, kept from task to task.
-_encoder: list[Encoder] = []
-
-
 def encoder_of(v: Vocabulary) -> Encoder:
-    if not _encoder or _encoder[0].v.digest != v.digest:
-        _encoder[:] = [Encoder(v)]
-    return _encoder[0]
+    """The encoder of this worker, kept from task to task."""
+    if "op3" not in kept or kept["op3"].v.digest != v.digest:
+        kept["op3"] = Encoder(v)
+    return kept["op3"]
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
@@ -249,7 +246,7 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     packed, texts, size, start = [], [], 0, k + 1
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "ids array<int>", "decoded string"])
-    return docs.select(*[f.name for f in others], "text").mapInArrow(tokenized, schema)
+    return docs.select(*[f.name for f in others], "text").mapInArrow(lean(tokenized, keeps="op3"), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milepost.llm import vectors
-from milepost.llm.common import free_name, stored, table
+from milepost.llm.common import free_name, lean, stored, table
 
 #: A register is floor(1 - log(x, BASE)) of the smallest x, exponential with rate RATE, kept between 0 and LIMIT.
 BASE, RATE, LIMIT = 1.02, 20.0, 65535
@@ -103,26 +104,25 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, text_key, n_shingles, a 128-bit key of the set (two longs), and the registers as bytes (null for an empty set)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in vectors.text_batches(texts):
-                sets = list(shingle_sets(texts[start:end], rule.words))
-                full = [s for s in sets if len(s)]
-                rows = iter(registers(full) if full else ())
-                keys = np.array([[s.sum(dtype=np.uint64), vectors.mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(start, end - start) for c in ("doc_id", "text_key")),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys[:, 0]),
-                        pa.array(keys[:, 1]),
-                        pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "text_key", "n_shingles", "key1", "key2", "registers"],
-                )
+        for batch in chain.from_iterable(map(vectors.parts, batches)):
+            sets = list(shingle_sets(batch.column("text").to_pylist(), rule.words))
+            full = [s for s in sets if len(s)]
+            rows = iter(registers(full) if full else ())
+            keys = np.array([[s.sum(dtype=np.uint64), vectors.mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_key"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]),
+                    pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["doc_id", "text_key", "n_shingles", "key1", "key2", "registers"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        sketched, "doc_id long, text_key long, n_shingles long, key1 long, key2 long, registers binary"
+        lean(sketched), "doc_id long, text_key long, n_shingles long, key1 long, key2 long, registers binary"
     )
 
 
@@ -152,19 +152,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """node and its whole set as bytes, for the rows of `wanted`: node, doc_id and text_key of the document it is named by."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in vectors.text_batches(texts):
-                own = [s.tobytes() for s in shingle_sets(texts[start:end], rule.words)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(start, end - start), pa.array(own, pa.binary())], ["node", "shingles"]
-                )
+        for batch in chain.from_iterable(map(vectors.parts, batches)):
+            own = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), rule.words)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     # Shuffled at every size, so that the plan and its cost do not change with the number of ids.
     is_named = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
     chosen = texts.join(wanted.hint("merge"), is_named).select("node", "text")
-    return chosen.mapInArrow(whole, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
+    return chosen.mapInArrow(lean(whole), "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
 def _both(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,7 +184,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     sized = _both(pairs, nodes, ["n_shingles"])
     least, most = (f("n_shingles_a", "n_shingles_b") for f in (F.least, F.greatest))
     sized = sized.where(100 * least >= rule.percent * most)
-    return _both(sized, nodes, ["registers"]).mapInArrow(judged, "a long, b long")
+    return _both(sized, nodes, ["registers"]).mapInArrow(lean(judged), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -203,7 +199,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(100 * common >= rule.percent * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _both(pairs, sets, ["shingles"]).mapInArrow(linked, "a long, b long")
+    return _both(pairs, sets, ["shingles"]).mapInArrow(lean(linked), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,7 +241,7 @@ def shingle_rows(sets: DataFrame) -> DataFrame:
                 facts = [pa.array(np.full(len(own), v, np.int64)) for v in (component, len(own), node)]
                 yield pa.RecordBatch.from_arrays([*facts, pa.array(own)], ["component", "n", "node", "shingle"])
 
-    return sets.mapInArrow(listed, "component long, n long, node long, shingle long")
+    return sets.mapInArrow(lean(listed), "component long, n long, node long, shingle long")
 
 
 def remaining_pairs(open_sets: DataFrame, rule: Rule) -> DataFrame:

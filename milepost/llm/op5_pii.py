@@ -15,12 +15,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milepost.llm.common import free_name, stored, table
+from milepost.llm import vectors
+from milepost.llm.common import free_name, lean, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs as many different trusted strings, and at least this precision and selectivity.
@@ -150,7 +152,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(vectors.parts, batches)):
             rows = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
@@ -168,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(scanned, f"doc_id {kind}, key long, {counts}, base_sha256 string, found {OCCURRENCE}")
+    return rows.mapInArrow(lean(scanned), f"doc_id {kind}, key long, {counts}, base_sha256 string, found {OCCURRENCE}")
 
 
 def patterns(edges: DataFrame, trusted: DataFrame, selective: DataFrame) -> DataFrame:

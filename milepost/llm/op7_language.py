@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from milepost.llm import vectors
-from milepost.llm.common import held_out, table
+from milepost.llm.common import held_out, lean, table
 
 #: Labelled documents of each language that are sent to the driver, and the length in characters of those that go first.
 SAMPLE_DOCS, SAMPLE_MIN, SAMPLE_MAX = 60, 100, 4000
@@ -130,11 +131,10 @@ def parse_table(moves: list[dict[int, int]], width: int) -> Steps:
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For every code point whether it is a letter, and its lower case where that is one character."""
     if not _LETTERS:
-        chars = list(map(chr, range(0x110000)))
-        is_letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-        lower = np.arange(len(chars), dtype=np.uint32)
+        is_letter = np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+        lower = np.arange(0x110000, dtype=np.uint32)
         for k in np.flatnonzero(is_letter):
-            x = chars[k].lower()
+            x = chr(k).lower()
             if len(x) == 1:
                 lower[k] = ord(x)
         _LETTERS.append((is_letter, lower))
@@ -278,13 +278,13 @@ def predict(docs: DataFrame, automata: Automata) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(automata)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(vectors.parts, batches)):
             names, score = judged(batch.column("text").to_pylist(), model.value)
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(predicted), f"doc_id {kind}, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
@@ -295,7 +295,7 @@ def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(automata)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(vectors.parts, batches)):
             texts = batch.column("text").to_pylist()
             if model.value.languages:
                 names = judged(texts, model.value)[0]
@@ -306,7 +306,7 @@ def with_language(docs: DataFrame, automata: Automata) -> DataFrame:
                 keep = (phrases(texts, model.value)[2] > 0).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at once; a longer text is cut at white space, so memory does not grow with the text but with its longest word.
 CHUNK = 1 << 20
@@ -117,6 +119,16 @@ def text_batches(texts: list[str | None], limit: int = 4 * CHUNK) -> Iterator[tu
         yield start, len(texts)
 
 
+def parts(batch: pa.RecordBatch, limit: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut where their texts (column `text`) exceed about `limit` bytes, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start, spent = 0, 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, spent + limit, "right")))
+        yield batch.slice(start, end - start)
+        start, spent = end, int(ends[end - 1])
+
+
 def words_of(texts: list[str | None], tables: Tables = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """All word hashes of the texts and the bounds of each text in them (one more than texts)."""
     parts = list(word_hashes(texts, tables))
